@@ -55,11 +55,16 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[1:-1] = ~_SPACE[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
+    return starts, ends, spans_hashes(data, starts, ends)
+
+
+def spans_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of an array of bytes."""
     power, inverse = _power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, U)
     sums[0] = 0
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
