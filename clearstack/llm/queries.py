@@ -97,8 +97,8 @@ ORACLE_SQL: dict[str, str] = {
         e AS (SELECT doc_id, unnest(s) AS g FROM s),
         p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
         l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
-        both AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-        r AS (SELECT doc_id AS d, doc_id AS low FROM documents UNION SELECT both.b, r.low FROM r JOIN both ON both.a = r.d)
+        ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS d, doc_id AS low FROM documents UNION SELECT ways.b, r.low FROM r JOIN ways ON ways.a = r.d)
         SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.low) AS component_id, min(r.low) = n.doc_id AS kept
         FROM n JOIN r ON r.d = n.doc_id GROUP BY ALL""",
 }
