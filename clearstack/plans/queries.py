@@ -1,10 +1,421 @@
-"""The registered queries of the raster operators, and the SQL that each must agree with."""
+"""The registered queries of the raster operators over the driver tables, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clearstack.operators import color, components, morphology, neighborhood, pointwise, register, stack
+from clearstack.sources import search, virtual
+from clearstack.sources.virtual import WIDTH
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_T = """t AS (SELECT o_orderkey // 50 AS y, o_orderkey % 50 AS x, CAST(floor(o_totalprice / 50.0) AS BIGINT) AS dn, o_orderdate AS acq,
+ CASE o_orderpriority WHEN '1-URGENT' THEN 9 WHEN '2-HIGH' THEN 8 WHEN '3-MEDIUM' THEN 4 WHEN '4-NOT SPECIFIED' THEN 3 WHEN '5-LOW' THEN 5 END AS scl FROM orders),
+h AS (SELECT max(y) + 1 AS n FROM t)"""
+_O = """o AS (SELECT l_orderkey // 50 AS y, l_orderkey % 50 AS x, l_linenumber AS scene, CAST(max(l_quantity) * 200 AS BIGINT) AS r,
+ CAST(max(floor(l_extendedprice * 10000 / 105000)) AS BIGINT) AS g, CAST(max(round(l_discount * 100000)) AS BIGINT) AS b, CAST(max(round(l_tax * 125000)) AS BIGINT) AS n,
+ bool_and(l_returnflag <> 'R') AS clear, min(l_shipdate) AS acq FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+def _box(name: str, source: str, columns: list[str], size: int) -> str:
+    """A CTE with box sums of columns by joining every pixel with its window, mirrored at the edges."""
+    lo, hi = size // 2, (size - 1) // 2
+    sums = ", ".join(f"CAST(sum(q.{c}) AS BIGINT) AS {c}" for c in columns)
+    return f"""{name} AS (SELECT p.y, p.x, {sums} FROM (SELECT y, x, n FROM {source}, h) p, range(-{lo}, {hi} + 1) a(dy), range(-{lo}, {hi} + 1) b(dx), {source} q
+ WHERE q.y = CASE WHEN p.y + dy < 0 THEN -1 - p.y - dy WHEN p.y + dy >= n THEN 2 * n - 1 - p.y - dy ELSE p.y + dy END
+ AND q.x = CASE WHEN p.x + dx < 0 THEN -1 - p.x - dx WHEN p.x + dx >= 50 THEN 99 - p.x - dx ELSE p.x + dx END GROUP BY p.y, p.x)"""
+
+
+_BLOB = _box("s9", "t", ["dn"], 9) + ", blob AS (SELECT y, x, dn >= 81 * 5300 AS m FROM s9)"
+
+
+def _foot(name: str, source: str, size: int, erode: bool = False) -> str:
+    widths = morphology.half_widths(size)
+    rows = ", ".join(f"({d - size // 2}, {w})" for d, w in enumerate(widths))
+    agg = "bool_and" if erode else "bool_or"
+    return f"""{name} AS (SELECT p.y, p.x, {agg}(q.m) AS m FROM {source} p, (VALUES {rows}) f(dy, w), {source} q
+ WHERE q.y = p.y + dy AND q.x BETWEEN p.x - w AND p.x + w GROUP BY p.y, p.x)"""
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    t = virtual.target(spark, sf_dir)
+    return t, virtual.height(t)
+
+
+def _blob(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    t, n = _pixels(spark, sf_dir)
+    sums = neighborhood.box_sums(t, ["dn"], 9, WIDTH, n)
+    return sums.select("y", "x", (F.col("dn") >= 81 * 5300).alias("m")), n
+
+
+@query("SELECT id, cloud_cover, abs(date_diff('microsecond', datetime, TIMESTAMP '2024-01-15')) AS distance_us FROM (SELECT event_id AS id, ts AS datetime, value AS cloud_cover FROM events) WHERE datetime BETWEEN TIMESTAMP '2023-01-15' AND TIMESTAMP '2025-01-14' AND cloud_cover < 20 ORDER BY distance_us, coalesce(cloud_cover, 100), id LIMIT 15")
+def scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(virtual.catalog(spark, sf_dir), dt.datetime(2024, 1, 15), (-180.0, -90.0, 180.0, 90.0))
+
+
+@query("SELECT event_id AS id, event_id % 360 - 180 AS lon, user_id % 180 - 90 AS lat FROM events WHERE event_id % 360 - 180 BETWEEN 8 AND 12 AND user_id % 180 - 90 BETWEEN 38 AND 42")
+def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = search.resolve_bbox(None, 40.0, 10.0, 2.0)
+    return virtual.catalog(spark, sf_dir).where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])).select("id", "lon", "lat")
+
+
+@query(f"WITH {_T} SELECT y, x, round(CAST(least(greatest(dn / 10000.0, 0), 1) AS DOUBLE), 6) AS v FROM t")
+def normalize_dn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = virtual.target(spark, sf_dir)
+    return t.select("y", "x", F.round(pointwise.normalize(F.col("dn")).cast("double"), 6).alias("v"))
+
+
+@query(f"WITH {_T} SELECT y, x, CAST(trunc(CAST(CAST(dn / 10000.0 AS FLOAT) * CAST(10000 AS FLOAT) AS FLOAT)) AS INTEGER) AS dn FROM t")
+def denormalize_dn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = virtual.target(spark, sf_dir)
+    return t.select("y", "x", pointwise.denormalize(pointwise.normalize(F.col("dn"))).alias("dn"))
+
+
+@query("SELECT vec_id AS id, label IN (8, 9, 10, 11) AS cloud FROM embeddings")
+def scl_cloud_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual.spectra(spark, sf_dir).select("id", pointwise.is_cloud(F.col("scl")).alias("cloud"))
+
+
+@query("SELECT vec_id AS id, label NOT IN (3, 8, 9, 10, 11) AS clear FROM embeddings")
+def scl_clear_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual.spectra(spark, sf_dir).select("id", pointwise.is_clear(F.col("scl")).alias("clear"))
+
+
+_LS = "ls AS (SELECT vec_id AS id, list_avg(CAST(embedding AS DOUBLE[])) AS lum, list_stddev_pop(CAST(embedding AS DOUBLE[])) AS spread FROM embeddings)"
+
+
+@query(f"WITH {_LS} SELECT id, round(lum, 6) AS lum, round(spread, 6) AS spread FROM ls")
+def band_luminance_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = virtual.spectra(spark, sf_dir)
+    return s.select("id", F.round(pointwise.luminance(F.col("bands")), 6).alias("lum"), F.round(pointwise.spread(F.col("bands")), 6).alias("spread"))
+
+
+@query(f"WITH {_LS} SELECT id, lum >= (SELECT quantile_cont(lum, 0.99) FROM ls) AND spread <= (SELECT quantile_cont(spread, 0.01) FROM ls) AS bright_flat FROM ls")
+def bright_flat_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pointwise.bright_flat(virtual.spectra(spark, sf_dir)).select("id", "bright_flat")
+
+
+@query(f"WITH {_T} SELECT y, x, dn <= (SELECT quantile_cont(dn, 0.2) FROM t) AS dark FROM t")
+def dark_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pointwise.dark_objects(virtual.target(spark, sf_dir)).select("y", "x", "dark")
+
+
+@query(f"WITH {_T} SELECT y, x, dn >= 2200 AS core, dn >= 1000 AND dn < 2200 AS thin, dn >= 1000 AS s2 FROM t")
+def threshold_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = pointwise.threshold_masks(F.col("dn"), 2200, 1000)
+    return virtual.target(spark, sf_dir).select("y", "x", *[c.alias(k) for k, c in masks.items()])
+
+
+@query(f"WITH {_T} SELECT y, x, CAST(trunc(least(greatest(dn / (SELECT coalesce(nullif(quantile_cont(dn, 0.99), 0), 1) FROM t), 0), 1) * 255) AS INTEGER) AS u8 FROM t")
+def percentile_stretch_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pointwise.stretch_u8(virtual.target(spark, sf_dir)).select("y", "x", "u8")
+
+
+@query(f"WITH {_T} SELECT y, x, CASE WHEN scl IN (8, 9) THEN dn ELSE 0 END AS dn FROM t")
+def extract_by_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual.target(spark, sf_dir).select("y", "x", F.when(pointwise.is_cloud(F.col("scl")), F.col("dn")).otherwise(0).cast("long").alias("dn"))
+
+
+def _two_masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = virtual.target(spark, sf_dir)
+    return t.where(pointwise.is_cloud(F.col("scl"))).select("y", "x"), t.where("dn >= 5000").select("y", "x")
+
+
+@query(f"WITH {_T} SELECT y, x FROM t WHERE scl IN (8, 9) UNION SELECT y, x FROM t WHERE dn >= 5000")
+def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _two_masks(spark, sf_dir)
+    return a.union(b).distinct()
+
+
+@query(f"WITH {_T} SELECT y, x FROM t WHERE scl IN (8, 9) INTERSECT SELECT y, x FROM t WHERE dn >= 5000")
+def mask_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _two_masks(spark, sf_dir)
+    return a.join(b, ["y", "x"], "left_semi")
+
+
+@query(f"WITH {_T} SELECT y, x FROM t WHERE scl IN (8, 9) EXCEPT SELECT y, x FROM t WHERE dn >= 5000")
+def mask_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _two_masks(spark, sf_dir)
+    return a.join(b, ["y", "x"], "left_anti")
+
+
+@query(f"WITH {_T} SELECT 100.0 * sum(CASE WHEN scl IN (8, 9) THEN 1 ELSE 0 END) / count(*) AS cloud_percentage, CAST(sum(CASE WHEN scl IN (8, 9) THEN 1 ELSE 0 END) AS BIGINT) AS cloud_pixels, CAST(trunc(avg(CASE WHEN scl IN (8, 9) THEN x END)) AS INTEGER) AS cx, CAST(trunc(avg(CASE WHEN scl IN (8, 9) THEN y END)) AS INTEGER) AS cy FROM t")
+def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cloud = pointwise.is_cloud(F.col("scl"))
+    return virtual.target(spark, sf_dir).agg((100.0 * F.count_if(cloud) / F.count("*")).alias("cloud_percentage"), F.count_if(cloud).alias("cloud_pixels"), F.avg(F.when(cloud, F.col("x"))).cast("int").alias("cx"), F.avg(F.when(cloud, F.col("y"))).cast("int").alias("cy"))
+
+
+@query(f"WITH {_O} SELECT y, x, scene, r, g, b, n, clear FROM o")
+def mosaic_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual.observations(spark, sf_dir).select("y", "x", "scene", "r", "g", "b", "n", "clear")
+
+
+_W = "w AS (SELECT o.*, t.dn, t.scl, 1.0 / (1.0 + abs(date_diff('microsecond', t.acq, o.acq) / 8.64e10)) AS weight FROM o JOIN t USING (y, x))"
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of cloudy pixels only: the mask comes first, so others are never shuffled into the stack."""
+    t = virtual.target(spark, sf_dir).withColumnRenamed("acq", "wanted")
+    joined = virtual.observations(spark, sf_dir).join(t, ["y", "x"])
+    return joined.withColumn("weight", stack.temporal_weight(stack.days_between("wanted", "acq")))
+
+
+@query(f"WITH {_T}, {_O}, {_W} SELECT y, x, scene, round(weight, 9) AS weight FROM w")
+def temporal_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weighted(spark, sf_dir).select("y", "x", "scene", F.round("weight", 9).alias("weight"))
+
+
+_MEDIAN = """run AS (SELECT *, sum(u) OVER (PARTITION BY y, x ORDER BY v, scene ROWS UNBOUNDED PRECEDING) AS run, sum(u) OVER (PARTITION BY y, x) AS total FROM u),
+med AS (SELECT y, x, min(CASE WHEN run * 2 >= total THEN v END) AS median, max(total) <= 1000 AS no_data FROM run GROUP BY y, x)"""
+
+
+@query(f"WITH {_T}, {_O}, {_W}, u AS (SELECT y, x, scene, g AS v, CAST(round(CASE WHEN clear THEN weight ELSE 0 END * 1e12) AS BIGINT) AS u FROM w), {_MEDIAN} SELECT y, x, median, no_data FROM med")
+def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _weighted(spark, sf_dir).select("y", "x", "scene", F.col("g").alias("v"), stack.in_units(F.when(F.col("clear"), F.col("weight")).otherwise(0.0)).alias("u"))
+    return stack.weighted_median(rows, ["y", "x"], "v", "u", ["scene"])
+
+
+_LOCAL = "c AS (SELECT y, x, CASE WHEN scl IN (3, 8, 9) THEN 0 ELSE 1 END AS sw, CASE WHEN scl IN (3, 8, 9) THEN 0 ELSE dn END AS sv, CASE WHEN scl IN (3, 8, 9) THEN 0 ELSE dn * dn END AS sq FROM t), " + _box("bx", "c", ["sw", "sv", "sq"], 41) + ", loc AS (SELECT y, x, (sv / 1681.0) / greatest(sw / 1681.0, 1e-6) AS mean, (sq / 1681.0) / greatest(sw / 1681.0, 1e-6) AS sq FROM bx)"
+
+
+def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n = _pixels(spark, sf_dir)
+    clear = t.select("y", "x", "dn", pointwise.is_clear(F.col("scl")).cast("long").alias("w"))
+    return neighborhood.local_stats(clear, "dn", "w", 41, WIDTH, n)
+
+
+@query(f"WITH {_T}, {_LOCAL} SELECT y, x, round(mean, 6) AS mean, round(sqrt(greatest(sq - mean * mean, 1e-6)), 4) AS std FROM loc")
+def local_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _local(spark, sf_dir).select("y", "x", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std"))
+
+
+_FILL = f"""WITH {_T}, {_O}, {_W}, {_LOCAL},
+ e AS (SELECT w.y, w.x, scene, unnest(['r', 'g', 'b', 'n']) AS band, unnest([r, g, b, n]) AS v, weight, clear FROM w WHERE scl IN (8, 9)),
+ u0 AS (SELECT e.*, CAST(round(CASE WHEN clear THEN weight * exp(-(v / 10000.0 - mean / 10000.0) * (v / 10000.0 - mean / 10000.0) / (2 * 0.08 * 0.08)) ELSE 0 END * 1e12) AS BIGINT) AS u FROM e JOIN loc USING (y, x)),
+ run AS (SELECT *, sum(u) OVER (PARTITION BY y, x, band ORDER BY v, scene ROWS UNBOUNDED PRECEDING) AS run, sum(u) OVER (PARTITION BY y, x, band) AS total FROM u0),
+ med AS (SELECT y, x, band, min(CASE WHEN run * 2 >= total THEN v END) AS median, max(total) <= 1000 AS no_data FROM run GROUP BY y, x, band),
+ f AS (SELECT t.y, t.x, max(t.dn) AS dn, max(CASE WHEN NOT no_data AND band = 'r' THEN median END) AS r, max(CASE WHEN NOT no_data AND band = 'g' THEN median END) AS g,
+  max(CASE WHEN NOT no_data AND band = 'b' THEN median END) AS b, max(CASE WHEN NOT no_data AND band = 'n' THEN median END) AS n, coalesce(bool_and(no_data), true) AS none, bool_or(t.scl IN (8, 9)) AS m FROM t LEFT JOIN med USING (y, x) GROUP BY t.y, t.x)
+"""
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """y, x, r, g, b, n of every pixel: the weighted median under the mask where there is one, else the target's own; unresolved."""
+    t = virtual.target(spark, sf_dir)
+    cloudy = t.where(pointwise.is_cloud(F.col("scl"))).select("y", "x", F.col("acq").alias("wanted"))
+    obs = virtual.observations(spark, sf_dir).join(cloudy, ["y", "x"]).join(_local(spark, sf_dir).select("y", "x", "mean"), ["y", "x"])
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in "rgbn"])
+    rows = obs.withColumn("weight", stack.temporal_weight(stack.days_between("wanted", "acq"))).select("y", "x", "scene", "weight", "clear", "mean", F.explode(bands).alias("e")).select("*", "e.band", "e.v")
+    weight = F.when(F.col("clear"), F.col("weight") * stack.similarity(F.col("v") / 10000.0, F.col("mean") / 10000.0)).otherwise(0.0)
+    medians = stack.weighted_median(rows.withColumn("u", stack.in_units(weight)), ["y", "x", "band"], "v", "u", ["scene"])
+    found = medians.groupBy("y", "x").agg(*[F.max(F.when((F.col("band") == b) & ~F.col("no_data"), F.col("median"))).alias(b) for b in "rgbn"], F.bool_and("no_data").alias("none"))
+    out = t.join(found, ["y", "x"], "left")
+    m = pointwise.is_cloud(F.col("scl"))
+    return out.select("y", "x", *[F.coalesce(b, "dn").alias(b) for b in "rgbn"], (m & F.coalesce("none", F.lit(True))).alias("unresolved"))
+
+
+@query(_FILL + "SELECT y, x, coalesce(r, dn) AS r, coalesce(g, dn) AS g, coalesce(b, dn) AS b, coalesce(n, dn) AS n, m AND none AS unresolved FROM f")
+def temporal_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir)
+
+
+@query(_FILL + "SELECT count(*) AS unresolved FROM f WHERE m AND none")
+def unresolved_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir).agg(F.count_if("unresolved").alias("unresolved"))
+
+
+@query(f"WITH {_T}, {_O}, {_W} SELECT y, x, scene, n AS v FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY CAST(round(weight * 1e12) AS BIGINT) DESC, scene) AS k FROM w WHERE scl IN (8, 9)) WHERE k = 1")
+def best_layer_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _weighted(spark, sf_dir).where(pointwise.is_cloud(F.col("scl"))).withColumn("u", stack.in_units(F.col("weight")))
+    return stack.best_layer(rows, ["y", "x"], "u", "scene").select("y", "x", "scene", F.col("n").alias("v"))
+
+
+@query(f"WITH {_T}, {_box('bx', 't', ['dn'], 41)} SELECT y, x, dn AS box_sum, round(dn / 1681.0, 6) AS box_mean FROM bx")
+def box_mean_41(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n = _pixels(spark, sf_dir)
+    return neighborhood.box_sums(t, ["dn"], 41, WIDTH, n).select("y", "x", F.col("dn").alias("box_sum"), F.round(F.col("dn") / 1681.0, 6).alias("box_mean"))
+
+
+@query(f"WITH {_T}, {_box('bx', 't', ['dn'], 41)} SELECT y, x, t.dn * 1681 >= bx.dn + 600 * 1681 AND t.dn < 2200 AS adaptive FROM t JOIN bx USING (y, x)")
+def adaptive_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n = _pixels(spark, sf_dir)
+    sums = neighborhood.box_sums(t, ["dn"], 41, WIDTH, n).withColumnRenamed("dn", "box")
+    return t.join(sums, ["y", "x"]).select("y", "x", ((F.col("dn") * 1681 >= F.col("box") + 600 * 1681) & (F.col("dn") < 2200)).alias("adaptive"))
+
+
+@query(f"WITH {_T}, {_BLOB}, {_foot('d', 'blob', 7)} SELECT y, x, m FROM d")
+def dilate_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return morphology.dilate(_blob(spark, sf_dir)[0], 7)
+
+
+@query(f"WITH {_T}, {_BLOB}, {_foot('d', 'blob', 7, True)} SELECT y, x, m FROM d")
+def erode_ellipse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return morphology.erode(_blob(spark, sf_dir)[0], 7)
+
+
+@query(f"WITH {_T}, {_BLOB}, {_foot('a', 'blob', 5, True)}, {_foot('d', 'a', 5)} SELECT y, x, m FROM d")
+def mask_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return morphology.opened(_blob(spark, sf_dir)[0])
+
+
+@query(f"WITH {_T}, {_BLOB}, {_foot('a', 'blob', 5)}, {_foot('d', 'a', 5, True)} SELECT y, x, m FROM d")
+def mask_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return morphology.closed(_blob(spark, sf_dir)[0])
+
+
+@query(f"WITH {_T}, {_BLOB}, {_foot('a', 'blob', 7)}, {_foot('d', 'blob', 7, True)} SELECT y, x, a.m AND NOT d.m AS m FROM a JOIN d USING (y, x)")
+def border_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return morphology.border_ring(_blob(spark, sf_dir)[0])
+
+
+@query(f"WITH {_T}, {_BLOB}, {_foot('a', 'blob', 21)}, {_box('bx', 't', ['dn'], 40)} SELECT y, x, a.m AND NOT blob.m AND t.dn * 1600 > bx.dn + 500 * 1600 AS m FROM a JOIN blob USING (y, x) JOIN t USING (y, x) JOIN bx USING (y, x)")
+def halo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask, n = _blob(spark, sf_dir)
+    t = virtual.target(spark, sf_dir).select("y", "x", "dn")
+    return morphology.halo(mask.join(t, ["y", "x"]), 10, 0.05, WIDTH, n)
+
+
+@query(f"WITH {_T} SELECT t.y + 15 AS y, x - 15 AS x FROM t, h WHERE scl IN (8, 9) AND t.y + 15 < n AND x >= 15")
+def shift_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n = _pixels(spark, sf_dir)
+    return morphology.shifted(t.where(pointwise.is_cloud(F.col("scl"))), 15, -15, WIDTH, n)
+
+
+@query(f"""WITH {_T}, {_BLOB}, near AS (SELECT DISTINCT p.y, p.x FROM blob q, range(-20, 21) a(dy), range(-20, 21) b(dx), t p WHERE q.m AND p.y = q.y + dy AND p.x = q.x + dx AND dy * dy + dx * dx <= 400),
+ core AS (SELECT t.y, t.x, t.scl = 3 OR (t.dn <= (SELECT quantile_cont(dn, 0.2) FROM t) AND NOT blob.m AND s.m IS NOT NULL AND s.m AND near.y IS NOT NULL) AS m
+  FROM t JOIN blob USING (y, x) LEFT JOIN blob s ON s.y = t.y - 12 AND s.x = t.x + 9 LEFT JOIN near ON near.y = t.y AND near.x = t.x), {_foot('d', 'core', 7)}
+ SELECT y, x, d.m AND NOT blob.m AS m FROM d JOIN blob USING (y, x)""")
+def shadow_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class 3, or dark, in the mask shifted by (12, -9), outside it and within 20 pixels of it; dilated by 3, less the mask."""
+    mask, n = _blob(spark, sf_dir)
+    t = virtual.target(spark, sf_dir)
+    cloud = mask.where("m").select("y", "x")
+    moved = morphology.shifted(cloud, 12, -9, WIDTH, n).withColumn("moved", F.lit(True))
+    near = neighborhood.distance_squared(cloud, t, 20)
+    rows = pointwise.dark_objects(t).join(mask, ["y", "x"]).join(moved, ["y", "x"], "left").join(near, ["y", "x"])
+    core = rows.select("y", "x", ((F.col("scl") == 3) | (F.col("dark") & ~F.col("m") & F.col("moved").isNotNull() & F.col("d2").isNotNull())).alias("m"))
+    grown = morphology.dilate(core, 7).withColumnRenamed("m", "grown")
+    return grown.join(mask, ["y", "x"]).select("y", "x", (F.col("grown") & ~F.col("m")).alias("m"))
+
+
+@query(f"WITH {_T}, {_BLOB}, d AS (SELECT p.y, p.x, min(dy * dy + dx * dx) AS d2 FROM blob q, range(-15, 16) a(dy), range(-15, 16) b(dx), t p WHERE q.m AND p.y = q.y + dy AND p.x = q.x + dx AND dy * dy + dx * dx <= 225 GROUP BY p.y, p.x) SELECT t.y, t.x, d2 FROM t LEFT JOIN d USING (y, x)")
+def distance_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighborhood.distance_squared(_blob(spark, sf_dir)[0].where("m"), virtual.target(spark, sf_dir), 15)
+
+
+def _labels_sql(name: str, source: str) -> str:
+    return f"""{name}_r AS (SELECT y, x, y * 50 + x AS l FROM {source} UNION SELECT p.y, p.x, r.l FROM {name}_r r JOIN {source} p ON (abs(p.y - r.y) + abs(p.x - r.x)) = 1 AND p.y BETWEEN r.y - 1 AND r.y + 1 AND r.l < p.y * 50 + p.x),
+ {name} AS (SELECT y, x, min(l) AS blob FROM {name}_r GROUP BY y, x)"""
+
+
+_COMP = f"WITH RECURSIVE {_T}, {_BLOB}, src AS (SELECT y, x FROM blob WHERE m), {_labels_sql('lab', 'src')}, ar AS (SELECT blob, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM lab GROUP BY blob) "
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.label(_blob(spark, sf_dir)[0].where("m"), WIDTH)
+
+
+@query(_COMP + "SELECT y, x, blob FROM lab")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir)
+
+
+@query(_COMP + "SELECT blob, area FROM ar")
+def blob_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.areas(_labelled(spark, sf_dir)).select("blob", "area")
+
+
+@query(_COMP + ", lim AS (SELECT * FROM ar, h) SELECT blob, greatest(y0 - 40, 0) AS y0, least(y1 + 40, n - 1) AS y1, greatest(x0 - 40, 0) AS x0, least(x1 + 40, 49) AS x1 FROM lim")
+def blob_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = virtual.height(virtual.target(spark, sf_dir))
+    a, zero = components.areas(_labelled(spark, sf_dir)), F.lit(0).cast("long")
+    return a.select("blob", F.greatest(F.col("y0") - 40, zero).alias("y0"), F.least(F.col("y1") + 40, F.lit(n - 1).cast("long")).alias("y1"), F.greatest(F.col("x0") - 40, zero).alias("x0"), F.least(F.col("x1") + 40, F.lit(WIDTH - 1).cast("long")).alias("x1"))
+
+
+@query(_COMP + "SELECT y, x, blob FROM lab JOIN ar USING (blob) WHERE area >= 40")
+def remove_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.without_small(_labelled(spark, sf_dir)).select("y", "x", "blob")
+
+
+# A recursive query would give each background pixel the numbers of all others; tests flood-fill instead.
+@query()
+def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = components.written(_blob(spark, sf_dir)[0])
+    return components.holes_filled(mask.where("m"), mask, WIDTH)
+
+
+@query(_COMP + """, n AS (SELECT p.y, p.x, min(struct_pack(d := dy * dy + dx * dx, b := q.blob)) AS k FROM lab q, range(-25, 26) a(dy), range(-25, 26) b(dx), t p WHERE p.y = q.y + dy AND p.x = q.x + dx AND dy * dy + dx * dx <= 625 GROUP BY p.y, p.x)
+ SELECT y, x FROM n JOIN ar ON ar.blob = k.b WHERE k.d <= least(greatest(sqrt(area / pi()) * 0.30, 3), 25) * least(greatest(sqrt(area / pi()) * 0.30, 3), 25)""")
+def expand_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.expanded(components.written(_labelled(spark, sf_dir)), virtual.target(spark, sf_dir))
+
+
+@query(f"""WITH {_T}, {_O}, s AS (SELECT dn AS v, count(*) AS n FROM t GROUP BY dn), t2 AS (SELECT g AS v, count(*) AS n FROM o GROUP BY g),
+ sc AS (SELECT v, sum(n) OVER (ORDER BY v) / (SELECT count(*) FROM t) AS share FROM s), tc AS (SELECT v, sum(n) OVER (ORDER BY v) / (SELECT count(*) FROM o) AS share FROM t2),
+ lo AS (SELECT sc.v, sc.share, a.v AS av, a.share AS ash FROM sc ASOF LEFT JOIN tc a ON sc.share >= a.share),
+ hi AS (SELECT lo.*, b.v AS bv, b.share AS bsh FROM lo ASOF LEFT JOIN tc b ON lo.share < b.share)
+ SELECT v, round(CASE WHEN av IS NULL THEN bv WHEN bv IS NULL OR share = ash THEN av ELSE av + (share - ash) * (bv - av) / (bsh - ash) END, 6) AS matched FROM hi""")
+def histogram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = virtual.observations(spark, sf_dir).select(F.col("g").alias("dn"))
+    return color.histogram_match(virtual.target(spark, sf_dir), template)
+
+
+@query(f"""WITH {_T}, c AS (SELECT y, x, dn, 10000 - dn AS res, scl IN (8, 9) AS m FROM t), w AS (SELECT y, x, CASE WHEN m THEN 0 ELSE 1 END AS cw, CASE WHEN m THEN 0 ELSE dn END AS cv, CASE WHEN m THEN 1 ELSE 0 END AS mw, CASE WHEN m THEN res ELSE 0 END AS mv FROM c),
+ {_box('bx', 'w', ['cw', 'cv', 'mw', 'mv'], 41)} SELECT y, x, round(CASE WHEN m THEN res + (cv / 1681.0) / greatest(cw / 1681.0, 1e-6) - (mv / 1681.0) / greatest(mw / 1681.0, 1e-6) ELSE CAST(res AS DOUBLE) END, 6) AS v FROM c JOIN bx USING (y, x)""")
+def brightness_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n = _pixels(spark, sf_dir)
+    rows = t.select("y", "x", F.col("dn").alias("cloudy"), (10000 - F.col("dn")).alias("result"), pointwise.is_cloud(F.col("scl")).alias("m"))
+    return color.brightness_corrected(rows, 41, WIDTH, n)
+
+
+@query(f"""WITH {_T}, k AS (SELECT * FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) f(d, k)),
+ g AS (SELECT DISTINCT y // 2 AS y, x // 2 AS x FROM t), p AS (SELECT g.y, g.x, a.k * b.k AS k, 2 * g.y + a.d AS sy, 2 * g.x + b.d AS sx, n FROM g, k a, k b, h),
+ f AS (SELECT y, x, k, CASE WHEN sy < 0 THEN -sy WHEN sy >= n THEN 2 * n - 2 - sy ELSE sy END AS sy, CASE WHEN sx < 0 THEN -sx WHEN sx >= 50 THEN 98 - sx ELSE sx END AS sx FROM p)
+ SELECT f.y, f.x, CAST(sum(k * dn) AS BIGINT) AS dn FROM f JOIN t ON t.y = sy AND t.x = sx GROUP BY f.y, f.x""")
+def pyr_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n = _pixels(spark, sf_dir)
+    return neighborhood.pyramid_down(t, "dn", WIDTH, n)
+
+
+_GRID = "gr AS (SELECT y, x, y * 0.5 + 0.25 AS sy, x * 0.75 + 3.5 AS sx FROM t)"
+
+
+def _grid() -> tuple:
+    return F.col("y") * 0.5 + 0.25, F.col("x") * 0.75 + 3.5
+
+
+@query(f"WITH {_T}, {_GRID} SELECT gr.y, gr.x, coalesce(t.dn, 0) AS dn FROM gr LEFT JOIN t ON t.y = floor(sy + 0.5) AND t.x = floor(sx + 0.5)")
+def nearest_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = virtual.target(spark, sf_dir)
+    return register.nearest(t, t, *_grid(), "dn")
+
+
+@query(f"WITH {_T}, {_GRID}, c AS (SELECT gr.y, gr.x, floor(sy) + dy AS gy, floor(sx) + dx AS gx, (1 - abs(sy - floor(sy) - dy)) * (1 - abs(sx - floor(sx) - dx)) AS k FROM gr, range(2) a(dy), range(2) b(dx)) SELECT c.y, c.x, round(CAST(sum(dn * k) / sum(k) AS DOUBLE), 6) AS dn FROM c JOIN t ON t.y = gy AND t.x = gx WHERE k > 0 GROUP BY c.y, c.x")
+def bilinear_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = virtual.target(spark, sf_dir)
+    return register.bilinear(t, t, *_grid(), "dn")
+
+
+_BITS = "d AS (SELECT vec_id AS id, [CASE WHEN v > 0 THEN 1 ELSE 0 END for v in embedding] AS bits FROM embeddings)"
+
+
+@query(f"WITH {_BITS}, p AS (SELECT q.id, t.id AS match, list_sum([abs(q.bits[i] - t.bits[i]) for i in range(1, 65)]) AS distance FROM d q, d t WHERE q.id >= 100 AND t.id < 100), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match) AS n FROM p) SELECT a.id, a.match, CAST(a.distance AS INTEGER) AS distance FROM k a JOIN k b ON a.id = b.id AND a.n = 1 AND b.n = 2 WHERE a.distance < 0.75 * b.distance")
+def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = virtual.spectra(spark, sf_dir).select("id", register.sign_bits(F.col("bands")).alias("bits"))
+    return register.hamming_matches(d.where("id >= 100"), d.where("id < 100"))
