@@ -10,9 +10,10 @@ form classes. The plan, none of whose steps emits all pairs of a group:
 3. A pair's signatures are compared 16 values at a time. With m of n equal and a uniform prior, the posterior of
    the similarity is Beta(m + 1, n - m + 1); the pair is dropped as soon as P(J >= 0.75) falls under MISS.
 4. Survivors are confirmed on their full shingle sets, and connected components are taken.
-5. Buckets that still hold several components are compared within one task each, across components only; buckets over
-   BUCKET are first split by their other bands, and what remains larger by pairs of blocks. Only survivors leave
-   the task; they are confirmed as before and the components are taken again.
+5. Buckets that still hold several components are compared within one task each, across components only, each pair in
+   the first band that it shares; buckets over BUCKET are first split by their other bands, and what remains larger by
+   pairs of blocks. Survivors are confirmed in the task, on full sets; only links that join two components leave it.
+   The components are then taken again.
 """
 
 from __future__ import annotations
@@ -110,12 +111,15 @@ def _surviving(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return arrow_map(pairs.join(other, "b").join(one, "a"), run, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents with some of the ids; of few ids a broadcast picks them, so other texts aren't shuffled."""
+    ids = materialize(ids.distinct(), "ids")
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "verify-ids")
-    texts = docs.select("doc_id", "text")
-    few = ids.count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -155,7 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _band_keys(reps: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 4 * ROWS + 1, F.lit(4 * ROWS))))
-    return reps.select("doc_id", F.explode(keys).alias("key"))
+    return reps.select("doc_id", F.posexplode(keys).alias("band", "key"))
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -163,25 +167,49 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
 
 
-def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of different components within each group of (key, half, doc_id, label, sig).
+def _cross_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links between components within each group of (key, half, doc_id, label, sig, text), enough to join what they join.
 
     half is 0 for a group that is compared within itself; in a pair of blocks it is 1 or 2, and only pairs of 1 with 2 count.
+    A pair is looked at in the first of the bands that its signatures share; band is -1 where any will do.
     """
+    threshold = percent / 100
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, label, half = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
-        sig = _sigs([r[3] for r in rows])
+        if len(rows) < 2:
+            return
+        ids, label, half, band = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        sig = _sigs([r[4] for r in rows])
+        texts, sets = [r[5] for r in rows], {}
+        bands = sig.reshape(len(rows), BANDS, ROWS)
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = next(words.texts_shingle_sets([texts[k]]))
+            return sets[k]
+
         for i in range(len(rows) - 1):
             other = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ((half[i + 1 :] != half[i]) | (half[i] == 0)))
-            for j in other[plausible(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], threshold)]:
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+            other = other[plausible(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], threshold)]
+            if len(other) and band[i] > 0:
+                other = other[~(bands[other, : band[i]] == bands[i, : band[i]]).all(axis=2).any(axis=1)]
+            if not len(other):
+                continue
+            own, parts = set_of(i), [set_of(j) for j in other]
+            size = np.array([len(p) for p in parts])
+            hashes = np.concatenate(parts)
+            hit = own[np.minimum(np.searchsorted(own, hashes), len(own) - 1)] == hashes
+            both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size)[:-1]]), dtype=np.int64)
+            for j in other[100 * both >= percent * (len(own) + size - both)]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         key, rows = None, []
         for b in batches:
             out: dict[str, list] = {"a": [], "b": []}
-            for k, *row in zip(b["key"], b["doc_id"], b["label"], b["half"], b["sig"], strict=True):
+            for k, *row in zip(b["key"], b["doc_id"], b["label"], b["half"], b["band"], b["sig"], b["text"], strict=True):
                 if k != key:
                     for x, y in pairs(rows):
                         out["a"].append(x)
@@ -192,18 +220,20 @@ def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
         found = list(pairs(rows))
         yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
 
-    columns = members.select("key", "doc_id", "label", "half", "sig")
+    columns = members.select("key", "doc_id", "label", "half", "band", "sig", "text")
     return arrow_stream(columns.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
-def _rest(members: DataFrame, reps: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs across components in all buckets that hold several, whatever their size."""
-    named = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+def _rest(members: DataFrame, reps: DataFrame, docs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links across components in all buckets that hold several, whatever their size."""
+    named = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     named = materialize(named, "members")
     groups = materialize(_mixed(named), "mixed")
+    texts = _texts(docs, named.join(groups, "key").select("doc_id"))
+    sig = reps.select("doc_id", "sig")
     found = None
     for depth in range(3):
-        small = named.join(groups.where(F.col("size") <= BUCKET), "key").select("key", "doc_id", "label", F.lit(0).alias("half"))
+        small = named.join(groups.where(F.col("size") <= BUCKET), "key").select("key", "band", "doc_id", "label", F.lit(0).alias("half"))
         large = groups.where(F.col("size") > BUCKET)
         last = large.isEmpty()
         if not last and depth == 2:
@@ -211,11 +241,10 @@ def _rest(members: DataFrame, reps: DataFrame, labels: DataFrame, threshold: flo
             big = named.join(large, "key").withColumn("blocks", F.ceil(F.col("size") / (BUCKET // 2)).cast("long"))
             big = big.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
             big = big.select("key", "doc_id", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-            big = big.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "doc_id", "label", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("half"))
+            big = big.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.lit(-1).alias("band"), "doc_id", "label", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("half"))
             small = small.union(big)
-        sig = reps.select("doc_id", "sig")
-        pairs = _cross_pairs(small.join(sig, "doc_id"), threshold)
-        found = pairs if found is None else found.union(pairs)
+        links = _cross_links(small.join(sig, "doc_id").join(texts, "doc_id"), percent)
+        found = links if found is None else found.union(links)
         if last or depth == 2:
             break
         big = named.join(large, "key").select("key", "doc_id", "label").join(sig, "doc_id")
@@ -223,7 +252,7 @@ def _rest(members: DataFrame, reps: DataFrame, labels: DataFrame, threshold: flo
         again = big.select(F.explode(keys).alias("sub"), "key", "doc_id", "label")
         # The band that made the group is shared by all its members and would return it whole.
         whole = again.groupBy("key", "sub").agg(F.count("*").alias("n")).join(large, "key").where("n = size").select("key", "sub")
-        named = materialize(again.join(whole, ["key", "sub"], "left_anti").select(F.col("sub").alias("key"), "doc_id", "label"), "members")
+        named = materialize(again.join(whole, ["key", "sub"], "left_anti").select(F.col("sub").alias("key"), F.lit(-1).alias("band"), "doc_id", "label"), "members")
         groups = materialize(_mixed(named), "mixed")
     return found.distinct()
 
@@ -242,16 +271,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = materialize(reps, "representatives")
     bands = _band_keys(reps)
     groups = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(bands.join(groups, "key").select("key", "doc_id", "leader"), "buckets")
+    members = materialize(bands.join(groups, "key").select("key", "band", "doc_id", "leader"), "buckets")
     star = members.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     first = materialize(_surviving(star, reps, threshold), "survivors")
     links = materialize(confirmed(first, docs, percent).distinct(), "links")
     labels = components(links)
-    rest = materialize(_rest(members.select("key", "doc_id"), reps, labels, threshold).join(first, ["a", "b"], "left_anti"), "survivors")
-    if not rest.isEmpty():
-        more = materialize(confirmed(rest, docs, percent).distinct(), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    more = materialize(_rest(members.select("key", "band", "doc_id"), reps, docs, labels, percent), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     classes = reps.join(labels, reps["doc_id"] == labels["node"], "left").where("copies > 1 or label is not null").select("set_key", F.coalesce("label", "doc_id").alias("component"))
     out = sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -100,5 +100,5 @@ ORACLE_SQL: dict[str, str] = {
         ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         r AS (SELECT doc_id AS d, doc_id AS low FROM documents UNION SELECT ways.b, r.low FROM r JOIN ways ON ways.a = r.d)
         SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.low) AS component_id, min(r.low) = n.doc_id AS kept
-        FROM n JOIN r ON r.d = n.doc_id GROUP BY ALL""",
+        FROM n JOIN r ON r.d = n.doc_id GROUP BY n.doc_id, n.n""",
 }
