@@ -102,6 +102,19 @@ def _arrow_types(schema: str) -> tuple[list[str], list[pa.DataType]]:
     return [p[0] for p in pairs], [kind(p[1].strip()) for p in pairs]
 
 
+def least_hashed(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
+    """At most n rows of df, those of least hash of key (then key and ties).
+
+    A threshold on the hash leaves about 4 n rows first, so what tasks send on doesn't grow with their number. Where
+    many rows share few keys it may leave fewer than n.
+    """
+    total = df.count()
+    turn = F.xxhash64(key)
+    if total > 4 * n:
+        df = df.where(F.pmod(turn, F.lit(1 << 40)) < int(4 * n / total * (1 << 40)))
+    return df.orderBy(F.pmod(turn, F.lit(1 << 40)), key, *ties).limit(n)
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """At least the session's shuffle partitions, and more where that would give them more rows than rows_each."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearstack.llm import words
-from clearstack.llm.common import arrow_map, arrow_stream, prepare
+from clearstack.llm.common import arrow_map, arrow_stream, least_hashed, prepare
 
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS, HIDDEN = 64, 12, 6, 16
 INPUT = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
@@ -286,7 +286,8 @@ def augmented(page: list[Block], other: list[Block], rng: np.random.RandomState)
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BiLstm:
     """A labeller from at most sample_pages rows with html, by least hash of page_id; an untrained one without any."""
     prepare(pages.sparkSession)
-    rows = pages.where("html is not null and html <> ''").select(F.xxhash64("page_id").alias("turn"), "page_id", "html").orderBy("turn", "page_id", "html").limit(sample_pages)
+    rows = pages.where("html is not null and html <> ''").select(F.xxhash64("page_id").alias("turn"), "page_id", "html")
+    rows = least_hashed(rows, "page_id", sample_pages, "html")
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         seen = []

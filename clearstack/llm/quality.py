@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearstack.llm import words
-from clearstack.llm.common import arrow_map, arrow_stream, held_out, prepare
+from clearstack.llm.common import arrow_map, arrow_stream, held_out, least_hashed, prepare
 
 DIMENSIONS = 1 << 18
 #: Labelled rows that are learned from at most, by least hash of doc_id.
@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     out; of an id that is labelled repeatedly each pair counts. Without rows all weights are 0 and every score 0.5.
     """
     few = labels.where("quality is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    few = few.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id", "quality").limit(sample_rows)
+    few = least_hashed(few, "doc_id", sample_rows, "quality").withColumn("turn", F.xxhash64("doc_id"))
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("turn", "doc_id", "text", "quality")
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:

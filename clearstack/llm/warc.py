@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearstack.llm.common import arrow_map, arrow_stream, materialize
+from clearstack.llm.common import arrow_map, arrow_stream, least_hashed, materialize
 
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -198,7 +198,7 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     groups = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     groups = materialize(groups.select("digest", "first"), "equal-payloads")
     few = groups.count() <= BROADCAST_GROUPS
-    sample = rows.orderBy(F.xxhash64("page_id"), "page_id").select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(SAMPLE_ROWS).collect()
+    sample = least_hashed(rows.select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html")), "page_id", SAMPLE_ROWS, "html").select("html").collect()
     dictionary = train_dictionary([r[0].encode("utf-8", "replace") for r in sample if r[0]])
     joined = rows.join(F.broadcast(groups) if few else groups, "digest", "left")
 
