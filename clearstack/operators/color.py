@@ -25,8 +25,9 @@ def histogram_match(source: DataFrame, template: DataFrame, value: str = "dn") -
     s = s.crossJoin(F.broadcast(total_s)).select("v", (F.col("upto") / F.col("all_s")).alias("share"), F.lit(None).cast("long").alias("tv"))
     t = t.crossJoin(F.broadcast(total_t)).select(F.lit(None).cast("long").alias("v"), (F.col("upto") / F.col("all_t")).alias("share"), F.col("v").alias("tv"))
     w = Window.orderBy("share", F.col("v").isNotNull())
+    back = Window.orderBy(F.desc("share"), F.col("v").isNotNull().desc())  # a frame to the end would be read anew for each row
     point = F.when(F.col("tv").isNotNull(), F.struct("share", "tv"))
-    both = s.union(t).withColumn("a", F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(point, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    both = s.union(t).withColumn("a", F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.last(point, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     line = F.col("a.tv") + (F.col("share") - F.col("a.share")) * (F.col("b.tv") - F.col("a.tv")) / (F.col("b.share") - F.col("a.share"))
     matched = F.when(F.col("a").isNull(), F.col("b.tv").cast("double")).when(F.col("b").isNull() | (F.col("share") == F.col("a.share")), F.col("a.tv").cast("double")).otherwise(line)
     return both.where(F.col("v").isNotNull()).select("v", F.round(matched, 6).alias("matched"))
