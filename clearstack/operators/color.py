@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clearstack.operators.neighborhood import box_sums
+from clearstack.operators.neighborhood import box_sums, local_stats
 
 
 def _shares(df: DataFrame, value: str) -> DataFrame:
@@ -44,3 +44,11 @@ def brightness_corrected(df: DataFrame, size: int, width: int, height: int) -> D
     mean = lambda v, w: (F.col(v) / area) / F.greatest(F.col(w) / area, F.lit(1e-6))
     out = df.select("y", "x", "result", "m").join(sums, ["y", "x"])
     return out.select("y", "x", F.round(F.when(F.col("m"), F.col("result") + mean("cv", "cw") - mean("mv", "mw")).otherwise(F.col("result").cast("double")), 6).alias("v"))
+
+
+def color_transferred(df: DataFrame, size: int, width: int, height: int) -> DataFrame:
+    """y, x, v of pixels (y, x, source, target, clear): source with the local mean and deviation of target's clear pixels."""
+    own = local_stats(df.withColumn("w", F.lit(1)), "source", "w", size, width, height).toDF("y", "x", "ms", "ss")
+    goal = local_stats(df.withColumn("w", F.col("clear").cast("long")), "target", "w", size, width, height).toDF("y", "x", "mt", "st")
+    v = (F.col("source") - F.col("ms")) * (F.col("st") / F.greatest("ss", F.lit(1e-6))) + F.col("mt")
+    return df.select("y", "x", "source").join(own, ["y", "x"]).join(goal, ["y", "x"]).select("y", "x", v.alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,22 +59,76 @@ def distance_squared(mask: DataFrame, pixels: DataFrame, reach: int) -> DataFram
 TAPS = (1, 4, 6, 4, 1)
 
 
-def _folded(i, n: int):
-    """Reflection about the edge pixel's centre: -1 is 1, n is n - 2."""
-    return F.when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i)
+def _folded(i: int, n: int) -> int:
+    """Reflection about the edge pixel's centre, as often as needed: -1 is 1, n is n - 2."""
+    while n > 1 and not 0 <= i < n:
+        i = -i if i < 0 else 2 * n - 2 - i
+    return i if n > 1 else 0
+
+
+def _places(axis: str, outside: dict[int, int]):
+    """A pixel's own position and those outside the raster that it stands for."""
+    s = F.col(axis)
+    others = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(i).cast("long").alias("i")) for p, i in outside.items()])
+    edge = F.transform(F.filter(others, lambda o: o.i == s), lambda o: o.p)
+    stands = F.when(s.isin(*sorted(set(outside.values()))), F.concat(F.array(s.cast("long")), edge)).otherwise(F.array(s.cast("long")))
+    return F.explode(stands)
+
+
+def _scattered(df: DataFrame, values: list[str], axis: str, outside: dict[int, int], up: bool, n: int) -> DataFrame:
+    """Each pixel gives its tap-weighted values to the n results along an axis that have it under a tap; sums are partial first."""
+    other = "y" if axis == "x" else "x"
+    taps = F.array(*[F.struct(F.lit(t - 2).alias("d"), F.lit(k).alias("k")) for t, k in enumerate(TAPS)])
+    goals = df.select(other, *values, _places(axis, outside).alias("p")).select("*", F.explode(taps).alias("t"))
+    if up:
+        goals = goals.withColumn(axis, 2 * F.col("p") + F.col("t.d"))
+    else:
+        goals = goals.withColumn("c", F.col("p") - F.col("t.d")).where("c % 2 = 0").withColumn(axis, F.expr("c div 2"))
+    return goals.where(F.col(axis).between(0, n - 1)).groupBy(axis, other).agg(*[F.sum(F.col(v) * F.col("t.k")).alias(v) for v in values])
+
+
+def pyramid_down(df: DataFrame, values: list[str], width: int, height: int) -> DataFrame:
+    """y, x and the 5-tap weighted sums (256 times the means) at every second pixel, edges mirrored about the edge pixel."""
+    out = df.select("y", "x", *values)
+    for axis, n in (("x", width), ("y", height)):
+        out = _scattered(out, values, axis, {p: _folded(p, n) for p in (-2, -1, n, n + 1)}, False, (n + 1) // 2)
+    return out.select("y", "x", *values)
+
 
+def pyramid_up(df: DataFrame, values: list[str], width: int, height: int) -> DataFrame:
+    """y, x and 64 times the values of a raster of twice the size (width and height are the result's).
 
-def pyramid_down(df: DataFrame, value: str, width: int, height: int) -> DataFrame:
-    """y, x and the 5-tap weighted sum (256 times the mean) at every second pixel."""
-    out = df.select("y", "x", F.col(value).alias("v"))
+    Below the first pixel stands the second, beyond the last pixel stands itself.
+    """
+    out = df.select("y", "x", *values)
     for axis, n in (("x", width), ("y", height)):
-        other = "y" if axis == "x" else "x"
         half = (n + 1) // 2
-        # Each pixel gives to the results whose taps, folded at the edges, fall on it.
-        taps = F.array(*[F.struct(F.lit(t - 2).alias("d"), F.lit(k).alias("k")) for t, k in enumerate(TAPS)])
-        goals = out.select(other, "v", F.col(axis).alias("s"), F.explode(taps).alias("t"))
-        places = F.array(F.col("s"), F.when(F.col("s") > 0, -F.col("s")), F.when(F.col("s") < n - 1, 2 * n - 2 - F.col("s")))
-        goals = goals.select(other, "v", "t", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p"))
-        goals = goals.withColumn("c", F.col("p") - F.col("t.d")).where((F.col("c") % 2 == 0) & F.col("c").between(0, 2 * half - 2))
-        out = goals.groupBy(F.expr("c div 2").alias(axis), other).agg(F.sum(F.col("v") * F.col("t.k")).alias("v"))
-    return out.select("y", "x", F.col("v").alias(value))
+        out = _scattered(out, values, axis, {-1: min(1, half - 1), half: half - 1}, True, n)
+    return out.select("y", "x", *values)
+
+
+def gaussian_kernel(sigma: float) -> list[float]:
+    """Weights from -r to r, r four deviations, that add up to 1."""
+    r = int(4 * sigma + 0.5)
+    k = [math.exp(-i * i / (2 * sigma * sigma)) for i in range(-r, r + 1)]
+    return [v / sum(k) for v in k]
+
+
+def gaussian(df: DataFrame, values: list[str], sigma: float, width: int, height: int, mirror: bool = False) -> DataFrame:
+    """y, x and values smoothed by a Gaussian; beyond the edges the edge pixel goes on, or the raster is mirrored about it.
+
+    One shuffle an axis; a window holds 8 sigma + 1 pixels. A missing pixel counts as 0.
+    """
+    kernel = gaussian_kernel(sigma)
+    r = len(kernel) // 2
+    weights = F.array(*[F.lit(k) for k in kernel])
+    out = df.select("y", "x", *[F.col(v).cast("double").alias(v) for v in values])
+    for axis, other, n in (("x", "y", width), ("y", "x", height)):
+        beyond = [*range(-r, 0), *range(n, n + r)]
+        outside = {p: _folded(p, n) if mirror else min(max(p, 0), n - 1) for p in beyond}
+        padded = out.select(other, *values, _places(axis, outside).alias(axis))
+        near = F.collect_list(F.struct(axis, *values)).over(Window.partitionBy(other).orderBy(axis).rangeBetween(-r, r))
+        near = padded.select("y", "x", near.alias("near")).where(F.col(axis).between(0, n - 1))
+        add = lambda v, axis=axis: F.aggregate("near", F.lit(0.0), lambda a, p: a + p[v] * F.get(weights, (p[axis] - F.col(axis) + r).cast("int")))
+        out = near.select("y", "x", *[add(v).alias(v) for v in values])
+    return out

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearstack.operators import color, components, morphology, neighborhood, pointwise, register, stack
+from clearstack.operators import blending, color, components, morphology, neighborhood, pointwise, register, stack
 from clearstack.sources import search, virtual
 from clearstack.sources.virtual import WIDTH
 
@@ -390,7 +390,104 @@ def brightness_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT f.y, f.x, CAST(sum(k * dn) AS BIGINT) AS dn FROM f JOIN t ON t.y = sy AND t.x = sx GROUP BY f.y, f.x""")
 def pyr_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, n = _pixels(spark, sf_dir)
-    return neighborhood.pyramid_down(t, "dn", WIDTH, n)
+    return neighborhood.pyramid_down(t, ["dn"], WIDTH, n)
+
+
+_K = "k AS (SELECT * FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) f(d, k))"
+
+
+def _fold_sql(i: str, n: str) -> str:
+    around = f"((({i}) % (2 * {n} - 2) + 2 * {n} - 2) % (2 * {n} - 2))"
+    return f"CASE WHEN {n} = 1 THEN 0 ELSE least({around}, 2 * {n} - 2 - {around}) END"
+
+
+def _down_sql(name: str, source: str, columns: list[str], width: int, height: str) -> str:
+    sums = ", ".join(f"sum(q.{c} * p.k) / 256.0 AS {c}" for c in columns)
+    return f"""{name} AS MATERIALIZED (SELECT p.y, p.x, {sums} FROM (SELECT g.y, g.x, a.k * b.k AS k, 2 * g.y + a.d AS sy, 2 * g.x + b.d AS sx, {height} AS h FROM (SELECT DISTINCT y // 2 AS y, x // 2 AS x FROM {source}) g, k a, k b, h) p, {source} q
+ WHERE q.y = {_fold_sql("p.sy", "p.h")} AND q.x = {_fold_sql("p.sx", str(width))} GROUP BY p.y, p.x)"""
+
+
+def _up_sql(name: str, source: str, grid: str, columns: dict[str, str], width: int, height: str) -> str:
+    """64 times the values of source on the pixels of grid, whose size is given."""
+    half = (width + 1) // 2
+    sums = ", ".join(f"sum(q.{c} * p.k) AS {n}" for c, n in columns.items())
+    return f"""{name} AS (SELECT p.y, p.x, {sums} FROM (SELECT g.y, g.x, a.k * b.k AS k, (g.y - a.d) // 2 AS cy, (g.x - b.d) // 2 AS cx, ({height} + 1) // 2 AS hh FROM {grid} g, k a, k b, h WHERE (g.y - a.d) % 2 = 0 AND (g.x - b.d) % 2 = 0) p, {source} q
+ WHERE q.y = CASE WHEN cy < 0 THEN least(1, hh - 1) WHEN cy >= hh THEN hh - 1 ELSE cy END AND q.x = CASE WHEN cx < 0 THEN {min(1, half - 1)} WHEN cx >= {half} THEN {half - 1} ELSE cx END GROUP BY p.y, p.x)"""
+
+
+def _gauss_sql(name: str, source: str, column: str, sigma: float, mirror: bool = False) -> str:
+    kernel = neighborhood.gaussian_kernel(sigma)
+    taps = ", ".join(f"({i - len(kernel) // 2}, CAST({k!r} AS DOUBLE))" for i, k in enumerate(kernel))
+    at = _fold_sql if mirror else lambda i, n: f"least(greatest({i}, 0), {n} - 1)"
+    return f"""{name}_k AS (SELECT * FROM (VALUES {taps}) f(d, k)),
+ {name}_x AS (SELECT p.y, p.x, sum(q.{column} * k) AS {column} FROM {source} p, {name}_k, {source} q WHERE q.y = p.y AND q.x = {at("p.x + d", "50")} GROUP BY p.y, p.x),
+ {name} AS (SELECT p.y, p.x, sum(q.{column} * k) AS {column} FROM {name}_x p, {name}_k, {name}_x q, h WHERE q.x = p.x AND q.y = {at("p.y + d", "n")} GROUP BY p.y, p.x)"""
+
+
+@query(f"WITH {_T}, {_K}, g AS (SELECT gy.y, gx.x FROM (SELECT DISTINCT 2 * y + e AS y FROM t, range(2) r(e)) gy, (SELECT DISTINCT 2 * x + e AS x FROM t, range(2) r(e)) gx), {_up_sql('u', 't', 'g', {'dn': 'dn'}, 100, '(2 * n)')} SELECT y, x, CAST(dn AS BIGINT) AS dn FROM u")
+def pyr_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n = _pixels(spark, sf_dir)
+    return neighborhood.pyramid_up(t, ["dn"], 2 * WIDTH, 2 * n)
+
+
+def _seam(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The inverted target inside the blob mask, the target outside."""
+    blob, n = _blob(spark, sf_dir)
+    return virtual.target(spark, sf_dir).select("y", "x", (10000 - F.col("dn")).alias("a"), F.col("dn").alias("b")).join(blob, ["y", "x"]), n
+
+
+_SEAM = f"{_T}, {_BLOB}, s AS MATERIALIZED (SELECT y, x, 10000 - dn AS a, dn AS b, m, CASE WHEN m THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f FROM t JOIN blob USING (y, x))"
+
+
+def _laplacian_sql() -> str:
+    w, h = [50], ["n"]
+    for _ in range(5):
+        w.append((w[-1] + 1) // 2)
+        h.append(f"(({h[-1]} + 1) // 2)")
+    parts = [_SEAM, _K, _gauss_sql("soft", "s", "f", 7.5), "l0 AS MATERIALIZED (SELECT s.y, s.x, s.a::DOUBLE AS a, s.b::DOUBLE AS b, least(greatest(soft.f, 0), 1) AS m FROM s JOIN soft USING (y, x))"]
+    parts += [_down_sql(f"l{k + 1}", f"l{k}", ["a", "b", "m"], w[k], h[k]) for k in range(5)]
+    parts.append("v5 AS (SELECT y, x, a, b, a * m + b * (1 - m) AS v FROM l5)")
+    for k in range(4, -1, -1):
+        parts.append(_up_sql(f"u{k}", f"v{k + 1}", f"l{k}", {"a": "ua", "b": "ub", "v": "uv"}, w[k], h[k]))
+        parts.append(f"v{k} AS MATERIALIZED (SELECT y, x, a, b, uv / 64.0 + (a - ua / 64.0) * m + (b - ub / 64.0) * (1 - m) AS v FROM l{k} JOIN u{k} USING (y, x))")
+    return f"WITH {', '.join(parts)} SELECT y, x, round(v, 3) AS v FROM v0"
+
+
+@query(_laplacian_sql())
+def laplacian_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seam, n = _seam(spark, sf_dir)
+    return blending.laplacian_blend(seam, WIDTH, n).withColumn("v", F.round("v", 3))
+
+
+@query(f"""WITH {_SEAM}, d AS (SELECT p.y, p.x, sqrt(min(dy * dy + dx * dx)) AS d FROM s p, range(-15, 16) a(dy), range(-15, 16) b(dx), s q WHERE dy * dy + dx * dx <= 225 AND q.y = p.y + dy AND q.x = p.x + dx AND q.m <> p.m GROUP BY p.y, p.x),
+ al AS (SELECT s.y, s.x, CASE WHEN m THEN coalesce(least(d / 15, 1), 1) ELSE coalesce(greatest(1 - d / 15, 0), 0) END AS f FROM s LEFT JOIN d USING (y, x)),
+ {_gauss_sql('soft', 'al', 'f', 5.0)} SELECT s.y, s.x, round(soft.f * a + (1 - soft.f) * b, 3) AS v FROM s JOIN soft USING (y, x)""")
+def feather_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seam, n = _seam(spark, sf_dir)
+    return blending.feather_blend(seam, WIDTH, n).withColumn("v", F.round("v", 3))
+
+
+@query(f"WITH {_SEAM}, {_gauss_sql('low', 's', 'b', 3.0, True)} SELECT s.y, s.x, round(CASE WHEN m THEN s.a + 0.55::DOUBLE * (s.b - low.b) ELSE s.a::DOUBLE END, 3) AS v FROM s JOIN low USING (y, x)")
+def gaussian_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seam, n = _seam(spark, sf_dir)
+    return blending.refined_texture(seam.select("y", "x", F.col("a").alias("v"), F.col("b").alias("detail"), "m"), WIDTH, n).withColumn("v", F.round("v", 3))
+
+
+def _stats_sql(v: str, s: str, w: str) -> tuple[str, str]:
+    mean = f"({s} / 1681.0::DOUBLE) / greatest({w} / 1681.0::DOUBLE, 1e-6)"
+    return mean, f"sqrt(greatest(({v} / 1681.0::DOUBLE) / greatest({w} / 1681.0::DOUBLE, 1e-6) - ({mean}) * ({mean}), 1e-6))"
+
+
+_OWN, _GOAL = _stats_sql("oq", "os", "ow"), _stats_sql("gq", "gs", "gw")
+
+
+@query(f"""WITH {_T}, c AS (SELECT y, x, 10000 - dn AS src, CASE WHEN scl NOT IN (3, 8, 9, 10, 11) THEN 1 ELSE 0 END AS gw, dn FROM t),
+ w AS (SELECT y, x, 1 AS ow, src AS os, src * src AS oq, gw, gw * dn AS gs, gw * dn * dn AS gq FROM c), {_box('bx', 'w', ['ow', 'os', 'oq', 'gw', 'gs', 'gq'], 41)}
+ SELECT c.y, c.x, round((src - {_OWN[0]}) * ({_GOAL[1].replace('gw', 'bx.gw')} / greatest({_OWN[1]}, 1e-6)) + {_GOAL[0].replace('gw', 'bx.gw')}, 3) AS v FROM c JOIN bx USING (y, x)""")
+def color_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n = _pixels(spark, sf_dir)
+    rows = t.select("y", "x", (10000 - F.col("dn")).alias("source"), F.col("dn").alias("target"), pointwise.is_clear(F.col("scl")).alias("clear"))
+    return color.color_transferred(rows, 41, WIDTH, n).withColumn("v", F.round("v", 3))
 
 
 _GRID = "gr AS (SELECT y, x, y * 0.5 + 0.25 AS sy, x * 0.75 + 3.5 AS sx FROM t)"

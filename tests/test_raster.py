@@ -78,7 +78,7 @@ def test_even_box(spark):
     assert got == {x: 2 * (max(x, 1) + x + 1) for x in range(5)}
 
 
-@pytest.mark.parametrize("name", ["scene_search", "temporal_composite", "local_mean_std", "halo", "shadow_mask", "remove_small", "histogram_match", "pyr_down", "bilinear_regrid"])
+@pytest.mark.parametrize("name", ["scene_search", "temporal_composite", "local_mean_std", "halo", "shadow_mask", "remove_small", "histogram_match", "pyr_down", "pyr_up", "laplacian_blend", "feather_blend", "gaussian_detail", "color_transfer", "bilinear_regrid"])
 def test_query_agrees_with_sql(spark, name):
     c = duckdb.connect()
     for f in os.listdir(DATA):
