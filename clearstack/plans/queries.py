@@ -420,8 +420,10 @@ def _gauss_sql(name: str, source: str, column: str, sigma: float, mirror: bool =
     taps = ", ".join(f"({i - len(kernel) // 2}, CAST({k!r} AS DOUBLE))" for i, k in enumerate(kernel))
     at = _fold_sql if mirror else lambda i, n: f"least(greatest({i}, 0), {n} - 1)"
     return f"""{name}_k AS (SELECT * FROM (VALUES {taps}) f(d, k)),
- {name}_x AS (SELECT p.y, p.x, sum(q.{column} * k) AS {column} FROM {source} p, {name}_k, {source} q WHERE q.y = p.y AND q.x = {at("p.x + d", "50")} GROUP BY p.y, p.x),
- {name} AS (SELECT p.y, p.x, sum(q.{column} * k) AS {column} FROM {name}_x p, {name}_k, {name}_x q, h WHERE q.x = p.x AND q.y = {at("p.y + d", "n")} GROUP BY p.y, p.x)"""
+ {name}_px AS MATERIALIZED (SELECT y, x, k, {at("x + d", "50")} AS sx FROM {source}, {name}_k),
+ {name}_x AS MATERIALIZED (SELECT p.y, p.x, sum(q.{column} * k) AS {column} FROM {name}_px p JOIN {source} q ON q.y = p.y AND q.x = p.sx GROUP BY p.y, p.x),
+ {name}_py AS MATERIALIZED (SELECT y, x, k, {at("y + d", "n")} AS sy FROM {name}_x, {name}_k, h),
+ {name} AS (SELECT p.y, p.x, sum(q.{column} * k) AS {column} FROM {name}_py p JOIN {name}_x q ON q.x = p.x AND q.y = p.sy GROUP BY p.y, p.x)"""
 
 
 @query(f"WITH {_T}, {_K}, g AS (SELECT gy.y, gx.x FROM (SELECT DISTINCT 2 * y + e AS y FROM t, range(2) r(e)) gy, (SELECT DISTINCT 2 * x + e AS x FROM t, range(2) r(e)) gx), {_up_sql('u', 't', 'g', {'dn': 'dn'}, 100, '(2 * n)')} SELECT y, x, CAST(dn AS BIGINT) AS dn FROM u")
