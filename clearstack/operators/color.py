@@ -52,3 +52,32 @@ def color_transferred(df: DataFrame, size: int, width: int, height: int) -> Data
     goal = local_stats(df.withColumn("w", F.col("clear").cast("long")), "target", "w", size, width, height).toDF("y", "x", "mt", "st")
     v = (F.col("source") - F.col("ms")) * (F.col("st") / F.greatest("ss", F.lit(1e-6))) + F.col("mt")
     return df.select("y", "x", "source").join(own, ["y", "x"]).join(goal, ["y", "x"]).select("y", "x", v.alias("v"))
+
+
+def blob_histogram_match(df: DataFrame, labelled: DataFrame, width: int, height: int, margin: int = 40, least: int = 20, tile: int = 64) -> DataFrame:
+    """y, x, v of pixels (y, x, result, cloudy, m): each component's result pixels matched within its box and a margin.
+
+    The distribution of result over the whole crop goes to that of cloudy over the same crop; components whose crop has
+    fewer than `least` pixels outside the mask stay as they are. Every component reads the unmatched result, so the order
+    of components doesn't matter. Pixels meet crops by tiles, and only counts of distinct values are shuffled on.
+    """
+    clamp = lambda c, n: F.least(F.greatest(c, F.lit(0).cast("long")), F.lit(n - 1).cast("long"))
+    boxes = labelled.groupBy("blob").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    boxes = boxes.select("blob", clamp(F.col("y0") - margin, height).alias("y0"), clamp(F.col("y1") + margin, height).alias("y1"), clamp(F.col("x0") - margin, width).alias("x0"), clamp(F.col("x1") + margin, width).alias("x1"))
+    tiles = boxes.withColumn("ty", F.explode(F.sequence(F.expr(f"y0 div {tile}"), F.expr(f"y1 div {tile}")))).withColumn("tx", F.explode(F.sequence(F.expr(f"x0 div {tile}"), F.expr(f"x1 div {tile}"))))
+    at = df.select("y", "x", "result", "cloudy", "m", F.expr(f"y div {tile}").alias("ty"), F.expr(f"x div {tile}").alias("tx"))
+    crops = at.join(tiles, ["ty", "tx"]).where(F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1")))
+    both = F.array(F.struct(F.lit(True).alias("own"), F.col("result").cast("double").alias("v")), F.struct(F.lit(False).alias("own"), F.col("cloudy").cast("double").alias("v")))
+    counts = crops.select("blob", "m", F.explode(both).alias("e")).groupBy("blob", "e.own", "e.v").agg(F.count("*").alias("n"), F.count_if(~F.col("m")).alias("outside"))
+    # Both sides of a crop have the same number of pixels, so running counts stand for shares.
+    run = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("blob", "own").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("clear", F.sum(F.when(~F.col("own"), F.col("outside")).otherwise(0)).over(Window.partitionBy("blob"))).where(F.col("clear") >= least)
+    point = F.when(~F.col("own"), F.struct("upto", "v"))
+    w = Window.partitionBy("blob").orderBy("upto", "own").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("blob").orderBy(F.desc("upto"), F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)
+    run = run.withColumn("a", F.last(point, ignorenulls=True).over(w)).withColumn("b", F.last(point, ignorenulls=True).over(back))
+    line = F.col("a.v") + (F.col("upto") - F.col("a.upto")) * (F.col("b.v") - F.col("a.v")) / (F.col("b.upto") - F.col("a.upto"))
+    matched = F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull() | (F.col("upto") == F.col("a.upto")), F.col("a.v")).otherwise(line)
+    table = run.where("own").select("blob", F.col("v").alias("own_v"), matched.alias("matched"))
+    rows = df.select("y", "x", F.col("result").cast("double").alias("own_v")).join(labelled.select("y", "x", "blob"), ["y", "x"], "left").join(table, ["blob", "own_v"], "left")
+    return rows.select("y", "x", F.coalesce("matched", "own_v").alias("v"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearstack.operators import blending, color, components, morphology, neighborhood, pointwise, register, stack
+from clearstack.operators import blending, color, components, morphology, neighborhood, plugins, pointwise, poisson, register, stack
 from clearstack.sources import search, virtual
 from clearstack.sources.virtual import WIDTH
 
@@ -518,3 +518,44 @@ _BITS = "d AS (SELECT vec_id AS id, [CASE WHEN v > 0 THEN 1 ELSE 0 END for v in
 def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = virtual.spectra(spark, sf_dir).select("id", register.sign_bits(F.col("bands")).alias("bits"))
     return register.hamming_matches(d.where("id >= 100"), d.where("id < 100"))
+
+
+@query(_COMP + """, bx AS (SELECT blob, greatest(y0 - 40, 0) AS y0, least(y1 + 40, n - 1) AS y1, greatest(x0 - 40, 0) AS x0, least(x1 + 40, 49) AS x1 FROM ar, h),
+ crop AS MATERIALIZED (SELECT bx.blob, p.dn AS cloudy, 10000 - p.dn AS res, b.m FROM bx JOIN t p ON p.y BETWEEN bx.y0 AND bx.y1 AND p.x BETWEEN bx.x0 AND bx.x1 JOIN blob b ON b.y = p.y AND b.x = p.x),
+ ok AS (SELECT blob FROM crop GROUP BY blob HAVING sum(CASE WHEN m THEN 0 ELSE 1 END) >= 20),
+ sc AS (SELECT blob, v, sum(c) OVER (PARTITION BY blob ORDER BY v) AS u FROM (SELECT blob, res AS v, count(*) AS c FROM crop GROUP BY blob, res)),
+ tc AS (SELECT blob, v, sum(c) OVER (PARTITION BY blob ORDER BY v) AS u FROM (SELECT blob, cloudy AS v, count(*) AS c FROM crop GROUP BY blob, cloudy)),
+ lo AS (SELECT sc.blob, sc.v, sc.u, a.v AS av, a.u AS au FROM sc ASOF LEFT JOIN tc a ON sc.blob = a.blob AND sc.u >= a.u),
+ hi AS (SELECT lo.*, b.v AS bv, b.u AS bu FROM lo ASOF LEFT JOIN tc b ON lo.blob = b.blob AND lo.u < b.u),
+ mt AS (SELECT blob, v, CASE WHEN av IS NULL THEN bv WHEN bv IS NULL OR u = au THEN av ELSE av + CAST(u - au AS DOUBLE) * (bv - av) / CAST(bu - au AS DOUBLE) END AS matched FROM hi JOIN ok USING (blob))
+ SELECT t.y, t.x, round(CAST(coalesce(matched, 10000 - t.dn) AS DOUBLE), 6) AS v FROM t LEFT JOIN lab ON lab.y = t.y AND lab.x = t.x LEFT JOIN mt ON mt.blob = lab.blob AND mt.v = 10000 - t.dn""")
+def blob_histogram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seam, n = _seam(spark, sf_dir)
+    rows = components.written(seam.select("y", "x", F.col("a").alias("result"), F.col("b").alias("cloudy"), "m"))
+    labelled = components.written(components.label(rows.where("m"), WIDTH))
+    return color.blob_histogram_match(rows, labelled, WIDTH, n).withColumn("v", F.round("v", 6))
+
+
+# An iterative solution is no SQL; tests compare with a direct solution of the same equations.
+@query()
+def poisson_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson.poisson_blend(_seam(spark, sf_dir)[0]).withColumn("v", F.round("v", 2))
+
+
+@query("SELECT vec_id AS id, CAST(0 AS DOUBLE) AS probability FROM embeddings")
+def cloud_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a detector."""
+    return virtual.spectra(spark, sf_dir).select("id", plugins.cloud_probability(F.col("bands")).alias("probability"))
+
+
+@query("SELECT vec_id AS id, list_avg(CAST(embedding[1:10] AS DOUBLE[])) >= 0.05::DOUBLE AS cloud FROM embeddings")
+def detected_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a detector: the mean of the ten bands."""
+    p = plugins.cloud_probability(F.col("bands"), pointwise.luminance)
+    return virtual.spectra(spark, sf_dir).select("id", (p >= 0.05).alias("cloud"))
+
+
+@query(_FILL + "SELECT y, x, coalesce(r, dn) AS r, coalesce(g, dn) AS g, coalesce(b, dn) AS b FROM f")
+def inpaint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an inpainter the composite stays."""
+    return plugins.inpaint(_filled(spark, sf_dir)).select("y", "x", "r", "g", "b")
