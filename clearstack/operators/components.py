@@ -11,20 +11,24 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df by way of a table in the shared folder; where none is named, as in tests, one is made and set."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A fresh name in the shared folder; where none is set, as in tests, one is made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="clearstack-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/clearstack/{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/clearstack/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df by way of a table in the shared folder."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def label(mask: DataFrame, width: int) -> DataFrame:

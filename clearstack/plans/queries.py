@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearstack.operators import blending, color, components, morphology, neighborhood, plugins, pointwise, poisson, register, stack
-from clearstack.sources import search, virtual
+from clearstack.config import Config
+from clearstack.operators import blending, color, components, features, morphology, neighborhood, plugins, pointwise, poisson, register, stack
+from clearstack.plans import reconstruct
+from clearstack.sources import search, tiff, virtual
 from clearstack.sources.virtual import WIDTH
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -559,3 +561,43 @@ def detected_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inpaint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without an inpainter the composite stays."""
     return plugins.inpaint(_filled(spark, sf_dir)).select("y", "x", "r", "g", "b")
+
+
+@query(f"WITH {_T} SELECT y, x, dn, 9 - scl AS other FROM t")
+def geotiff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two bands written as one file in the shared folder, and read again."""
+    t, n = _pixels(spark, sf_dir)
+    path = components.shared_path(spark) + ".tif"
+    tiff.write_tiff(t.select("y", "x", "dn", (9 - F.col("scl")).alias("other")), ["dn", "other"], path, WIDTH, n)
+    rows = tiff.read_tiff(spark, path)[1]
+    band = lambda i, kind: F.max(F.when(F.col("band") == i, F.col("v"))).cast(kind)
+    return rows.groupBy("y", "x").agg(band(1, "long").alias("dn"), band(2, "int").alias("other"))
+
+
+# No SQL for corners, random samples and a least-squares fit; tests find a known shift.
+@query()
+def image_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothed target registered to itself moved by (2, -3)."""
+    t, n = _pixels(spark, sf_dir)
+    grey = components.written(neighborhood.box_sums(t, ["dn"], 5, WIDTH, n).select("y", "x", (F.col("dn") / 25.0).alias("grey")))
+    moving = grey.select((F.col("y") + 2).alias("y"), (F.col("x") - 3).alias("x"), "grey", F.col("grey").alias("v")).where(F.col("y").between(0, n - 1) & F.col("x").between(0, WIDTH - 1))
+    return features.refined(grey, components.written(moving), ["v"], WIDTH, n)[0].withColumn("v", F.round("v", 3))
+
+
+# Holes by SQL would give each background pixel the numbers of all others; tests check the parts.
+@query()
+def clean_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconstruct.clean_mask(components.written(_blob(spark, sf_dir)[0]), WIDTH, Config())
+
+
+@query()
+def reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps for one band, g of the observations into dn; tests check the steps."""
+    t, n = _pixels(spark, sf_dir)
+    obs = virtual.observations(spark, sf_dir).join(t.select("y", "x", F.col("acq").alias("wanted")), ["y", "x"])
+    obs = obs.select("y", "x", "scene", F.col("g").alias("dn"), "clear", stack.temporal_weight(stack.days_between("wanted", "acq")).alias("weight"))
+    # The virtual classes are noise, of which the whole raster would become mask: the smooth blobs are the cloud.
+    blob = components.written(_blob(spark, sf_dir)[0])
+    pixels = t.select("y", "x", "dn").join(blob, ["y", "x"]).select("y", "x", "dn", F.when(F.col("m"), 9).otherwise(4).alias("scl"))
+    config = Config(border_ring_px=1, halo_search_px=5, dilation_max_px=5)
+    return reconstruct.reconstruct(pixels, obs, ["dn"], WIDTH, n, config).pixels
