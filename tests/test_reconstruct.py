@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from clearstack.config import Config
+from clearstack.operators import morphology
 from clearstack.plans import reconstruct
 from pyspark.sql import functions as F
 
@@ -59,3 +60,43 @@ def test_further_bands_take_the_best_scene(scene):
 def test_shadow_offsets():
     assert reconstruct.shadow_offset(Config()) == (15, -15)
     assert reconstruct.shadow_offset(Config(sun_azimuth_deg=90.0, sun_elevation_deg=45.0)) == (0, -25)
+
+
+def _dilated(m, size):
+    out, r = np.zeros_like(m), size // 2
+    for dy, w in zip(range(-r, r + 1), morphology.half_widths(size)):
+        for dx in range(-w, w + 1):
+            src = m[max(-dy, 0) : m.shape[0] - max(dy, 0), max(-dx, 0) : m.shape[1] - max(dx, 0)]
+            out[max(dy, 0) : m.shape[0] - max(-dy, 0), max(dx, 0) : m.shape[1] - max(-dx, 0)] |= src
+    return out
+
+
+def _without(m, least):
+    """m without 4-connected components of fewer pixels, by flood fill."""
+    out, left = np.zeros_like(m), {(y, x) for y, x in zip(*np.nonzero(m))}
+    while left:
+        todo = [left.pop()]
+        for y, x in todo:
+            for q in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if q in left:
+                    left.remove(q)
+                    todo.append(q)
+        if len(todo) >= least:
+            for q in todo:
+                out[q] = True
+    return out
+
+
+def test_clean_mask_equals_flood_fill(spark):
+    m = np.random.default_rng(12).uniform(size=(H, W)) < 0.97
+    m[:, 18:22] = False
+    m[30:36, 5:12] = False
+    m[5:14, 24:36] = False
+    m[8:11, 28:33] = True
+    erode = lambda a: ~_dilated(~a, 5)
+    shape = erode(_dilated(_dilated(erode(m), 5), 5))
+    want = ~_without(~_without(shape, 40), 64)
+    df = spark.createDataFrame([(y, x, bool(m[y, x])) for y in range(H) for x in range(W)], "y long, x long, m boolean")
+    rows = reconstruct.clean_mask(df, W, Config()).collect()
+    assert len(rows) == H * W and all(r.m == want[r.y, r.x] for r in rows)
+    assert 0 < want.sum() < H * W and (want != m).any()
