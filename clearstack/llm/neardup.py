@@ -11,9 +11,8 @@ form classes. The plan, none of whose steps emits all pairs of a group:
    the similarity is Beta(m + 1, n - m + 1); the pair is dropped as soon as P(J >= 0.75) falls under MISS.
 4. Survivors are confirmed on their full shingle sets, and connected components are taken.
 5. Buckets that still hold several components are compared within one task each, across components only, each pair in
-   the first band that it shares; buckets over BUCKET are first split by their other bands, and what remains larger by
-   pairs of blocks. Survivors are confirmed in the task, on full sets; only links that join two components leave it.
-   The components are then taken again.
+   the first band that it shares; buckets over BUCKET by pairs of blocks, one task each. Survivors are confirmed in the
+   task, on full sets; only links that join two components leave it. The components are then taken again.
 """
 
 from __future__ import annotations
@@ -171,7 +170,7 @@ def _cross_links(members: DataFrame, percent: int) -> DataFrame:
     """Links between components within each group of (key, half, doc_id, label, sig, text), enough to join what they join.
 
     half is 0 for a group that is compared within itself; in a pair of blocks it is 1 or 2, and only pairs of 1 with 2 count.
-    A pair is looked at in the first of the bands that its signatures share; band is -1 where any will do.
+    A pair is looked at in the first of the bands that its signatures share.
     """
     threshold = percent / 100
 
@@ -224,6 +223,26 @@ def _cross_links(members: DataFrame, percent: int) -> DataFrame:
     return arrow_stream(columns.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
+def _blocks(named: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of buckets over BUCKET as pairs of blocks of about BUCKET / 2 members, which together hold every pair across components.
+
+    The largest component of a bucket has blocks of its own. They are compared with the blocks of all others but not with
+    each other, so a bucket that is nearly one component gives few rows more than it has members.
+    """
+    large = named.join(groups.where(F.col("size") > BUCKET), "key")
+    main = large.groupBy("key", "label").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    main = main.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.first("size").alias("size"))
+    blocks = lambda n: F.ceil(n / (BUCKET // 2)).cast("long")
+    main = main.select("key", F.col("m.label").alias("main"), blocks(F.col("m.n")).alias("first"), blocks(F.col("size") - F.col("m.n")).alias("more"))
+    large = large.join(main, "key")
+    turn, is_main = F.xxhash64("doc_id"), F.col("label") == F.col("main")
+    large = large.withColumn("own", F.when(is_main, F.pmod(turn, F.col("first"))).otherwise(F.col("first") + F.pmod(turn, F.col("more"))))
+    others = F.sequence(F.when(is_main, F.col("first")).otherwise(F.lit(0).cast("long")), F.col("first") + F.col("more") - 1)
+    large = large.select("key", "band", "doc_id", "label", "own", F.explode(others).alias("other"))
+    half = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return large.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "band", "doc_id", "label", half.alias("half"))
+
+
 def _rest(members: DataFrame, reps: DataFrame, docs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links across components in all buckets that hold several, whatever their size."""
     named = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
@@ -231,30 +250,8 @@ def _rest(members: DataFrame, reps: DataFrame, docs: DataFrame, labels: DataFram
     groups = materialize(_mixed(named), "mixed")
     texts = _texts(docs, named.join(groups, "key").select("doc_id"))
     sig = reps.select("doc_id", "sig")
-    found = None
-    for depth in range(3):
-        small = named.join(groups.where(F.col("size") <= BUCKET), "key").select("key", "band", "doc_id", "label", F.lit(0).alias("half"))
-        large = groups.where(F.col("size") > BUCKET)
-        last = large.isEmpty()
-        if not last and depth == 2:
-            # Blocks of about BUCKET / 2 members; each pair of blocks is a group of its own.
-            big = named.join(large, "key").withColumn("blocks", F.ceil(F.col("size") / (BUCKET // 2)).cast("long"))
-            big = big.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-            big = big.select("key", "doc_id", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-            big = big.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.lit(-1).alias("band"), "doc_id", "label", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("half"))
-            small = small.union(big)
-        links = _cross_links(small.join(sig, "doc_id").join(texts, "doc_id"), percent)
-        found = links if found is None else found.union(links)
-        if last or depth == 2:
-            break
-        big = named.join(large, "key").select("key", "doc_id", "label").join(sig, "doc_id")
-        keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.col("key"), i, F.substring(F.col("sig"), i * 4 * ROWS + 1, F.lit(4 * ROWS))))
-        again = big.select(F.explode(keys).alias("sub"), "key", "doc_id", "label")
-        # The band that made the group is shared by all its members and would return it whole.
-        whole = again.groupBy("key", "sub").agg(F.count("*").alias("n")).join(large, "key").where("n = size").select("key", "sub")
-        named = materialize(again.join(whole, ["key", "sub"], "left_anti").select(F.col("sub").alias("key"), F.lit(-1).alias("band"), "doc_id", "label"), "members")
-        groups = materialize(_mixed(named), "mixed")
-    return found.distinct()
+    small = named.join(groups.where(F.col("size") <= BUCKET), "key").select("key", "band", "doc_id", "label", F.lit(0).alias("half"))
+    return _cross_links(small.union(_blocks(named, groups)).join(sig, "doc_id").join(texts, "doc_id"), percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -80,6 +80,25 @@ def test_near_duplicates_of_a_chain(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == expected
 
 
+def test_near_duplicates_that_share_only_the_band_of_a_large_bucket(spark, monkeypatch):
+    """Buckets over BUCKET hold pairs whose signatures share no other band, within and across the largest component."""
+    monkeypatch.setattr(neardup, "BUCKET", 4)
+    rng = np.random.default_rng(2)
+    sigs = rng.integers(0, 1 << 32, (14, neardup.HASHES), dtype=np.uint32)
+    sigs[:, : neardup.ROWS] = 7
+    for a, b in ((0, 1), (2, 9)):
+        sigs[b] = sigs[a]
+        sigs[b, neardup.ROWS :: neardup.ROWS] += np.uint32(1)  # one value of each other band
+    texts = [" ".join(f"d{i}w{k}" for k in range(60)) for i in range(14)]
+    texts[1], texts[9] = texts[0] + " more", texts[2] + " more"
+    reps = spark.createDataFrame([(i, s.astype("<u4").tobytes()) for i, s in enumerate(sigs)], "doc_id long, sig binary")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = neardup._band_keys(reps).where("band = 0").select("key", "band", "doc_id")
+    labels = spark.createDataFrame([(i, 5) for i in range(5, 12)], "node long, label long")
+    got = {tuple(r) for r in neardup._rest(members, reps, docs, labels, 75).collect()}
+    assert got == {(0, 1), (2, 9)}
+
+
 def test_bayes_bounds():
     least = neardup.least_matches(0.75)
     assert list(least) == sorted(least) and 60 < least[-1] < 96
