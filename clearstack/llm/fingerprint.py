@@ -6,13 +6,14 @@ ln a = ln c - r * (t - b) - r, and the least value wins. Two texts draw the same
 the generalised Jaccard similarity of their weights, so the share of equal samples estimates it (standard deviation
 at most 0.045). A sample is kept as 16 bits of a hash of the winner's value, which stands for (term, t).
 
-Words are hashed to 2^16 slots, whose draws are tables made once a worker from counters, equal everywhere.
+The draws of a word follow from its whole 64-bit hash, so different words have different draws (but for equal hashes,
+about 1 in 2^64 a pair), equal everywhere. A worker keeps the draws of words seen lately in tables of a fixed size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -23,45 +24,67 @@ from clearstack.llm import words
 from clearstack.llm.common import BATCH_ROWS, arrow_stream, partitions_for
 
 SAMPLES = 128
-SLOT_BITS = 16
+#: Tables of 2^17 words for weight 1 and of 2^15 words for other weights: 67 MB and 50 MB a worker.
+ONE_BITS, MORE_BITS = 17, 15
 #: Rows of one partition in the pass that sees neighbours; about 65 MB of text at the usual 3 KB a document.
 PARTITION_ROWS = 20_000
-_BLOCK = 4096
+_BLOCK = 512
+_KEYS = words.mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64)).reshape(2, SAMPLES)
+
+
+def _draws(hashes: np.ndarray) -> np.ndarray:
+    """r, b and ln c of words by word and sample: five 24-bit uniforms from two 64-bit values."""
+    x, y = (words.mix(hashes[:, None] + k) for k in _KEYS)
+    low = np.uint64(0xFFFFFF)
+    u = [x >> np.uint64(40), (x >> np.uint64(16)) & low, y >> np.uint64(40), (y >> np.uint64(16)) & low, ((x & np.uint64(0xFFFF)) << np.uint64(8)) | (y & np.uint64(0xFF))]
+    u = [(v.astype(np.float64) + 0.5) / (1 << 24) for v in u]
+    return np.stack([-np.log(u[0] * u[1]), u[4], np.log(-np.log(u[2] * u[3]))], axis=1).astype(np.float32)
+
+
+def _at_one(hashes: np.ndarray) -> np.ndarray:
+    """The values of words at weight 1, by word and sample."""
+    r, b, lnc = _draws(hashes).swapaxes(0, 1)
+    return lnc - r * (1 - b)
+
+
+class _Table:
+    """What draw gives for words, kept for the last word of each slot; a word is known by its whole hash."""
+
+    def __init__(self, bits: int, draw: Callable[[np.ndarray], np.ndarray]) -> None:
+        self.shift, self.draw = np.uint64(64 - bits), draw
+        self.tags = ~(np.arange(1 << bits, dtype=np.uint64) << self.shift)  # of no word in that slot
+        self.rows = np.empty((1 << bits, *draw(np.zeros(1, np.uint64)).shape[1:]), np.float32)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        slots = (hashes >> self.shift).astype(np.int64)
+        out = self.rows[slots]
+        new = np.flatnonzero(self.tags[slots] != hashes)
+        if len(new):
+            out[new] = self.draw(hashes[new])
+            # Of words that share a slot the last stays, in both.
+            self.rows[slots[new]], self.tags[slots[new]] = out[new], hashes[new]
+        return out
 
 
 @cache
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, b, ln c, and the value at weight 1, by slot and sample."""
-    shape = (1 << SLOT_BITS, SAMPLES)
-    r, b, lnc, one = (np.empty(shape, np.float32) for _ in range(4))
-    for i in range(0, shape[0], _BLOCK):
-        count = _BLOCK * SAMPLES
-        base = np.arange(i * SAMPLES, i * SAMPLES + count, dtype=np.uint64) * np.uint64(5)
-        u = [((words.mix(base + np.uint64(k + 1)) >> np.uint64(40)).astype(np.float64) + 0.5) / (1 << 24) for k in range(5)]
-        part = slice(i, i + _BLOCK)
-        r[part] = -np.log(u[0] * u[1]).reshape(-1, SAMPLES)
-        lnc[part] = np.log(-np.log(u[2] * u[3])).reshape(-1, SAMPLES)
-        b[part] = u[4].reshape(-1, SAMPLES)
-        one[part] = lnc[part] - r[part] * (1 - b[part])
-    return r, b, lnc, one
-
-
-def weights_signature(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """SAMPLES 16-bit samples of positive weights over distinct slots; zeros where there are none."""
-    r, b, lnc, one = _draws()
-    least = np.full(SAMPLES, np.inf, np.float32)
-    for i in range(0, len(slots), _BLOCK):
-        s, w = slots[i : i + _BLOCK], weights[i : i + _BLOCK]
-        single = s[w == 1]
-        if len(single):
-            np.minimum(least, one[single].min(axis=0), out=least)
-        more = w != 1
-        if more.any():
-            m, x = s[more], np.log(w[more]).astype(np.float32)[:, None]
-            t = np.floor(x / r[m] + b[m])
-            np.minimum(least, (lnc[m] - r[m] * (t - b[m] + 1)).min(axis=0), out=least)
-    if not len(slots):
+def _tables() -> tuple[_Table, _Table]:
+    return _Table(ONE_BITS, _at_one), _Table(MORE_BITS, _draws)
+
+
+def weights_signature(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """SAMPLES 16-bit samples of positive weights over distinct 64-bit word hashes; zeros where there are none."""
+    if not len(terms):
         return np.zeros(SAMPLES, np.uint16)
+    ones, others = _tables()
+    least = np.full(SAMPLES, np.inf, np.float32)
+    single, more = terms[weights == 1], np.flatnonzero(weights != 1)
+    for i in range(0, len(single), _BLOCK):
+        np.minimum(least, ones.of(single[i : i + _BLOCK]).min(axis=0), out=least)
+    for i in range(0, len(more), _BLOCK):
+        m = more[i : i + _BLOCK]
+        r, b, lnc = others.of(terms[m]).swapaxes(0, 1)
+        t = np.floor(np.log(weights[m]).astype(np.float32)[:, None] / r + b)
+        np.minimum(least, (lnc - r * (t - b + 1)).min(axis=0), out=least)
     return (words.mix(least.view(np.uint32).astype(np.uint64) + np.uint64(1)) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -69,8 +92,7 @@ def signatures(texts: list[str | None]) -> list[np.ndarray]:
     """The samples of each whole text; equal texts have equal samples, a text without words (or null) all zeros."""
     out = []
     for h in words.texts_word_hashes(texts):
-        slots, counts = np.unique((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), return_counts=True)
-        out.append(weights_signature(slots, counts))
+        out.append(weights_signature(*np.unique(h, return_counts=True)))
     return out
 
 

@@ -136,6 +136,15 @@ def test_fingerprints(spark, odd, none):
     assert fingerprint.fingerprints(odd.where("doc_id = 3")).first().near_next == 1.0
 
 
+def test_fingerprints_of_long_texts_without_a_common_word():
+    """40,000 distinct words each; a table of draws smaller than that gives the same samples as none before."""
+    texts = [" ".join(f"{c}{k}" for k in range(40_000)) + f" {c}0" * 3 for c in "ab"]
+    one, other = fingerprint.signatures(texts)
+    assert fingerprint.likeness(one, other) < 0.03
+    fingerprint._tables.cache_clear()
+    assert (fingerprint.signatures(texts[1:])[0] == other).all()
+
+
 def test_packing(spark, odd, none):
     docs = table(spark, "documents").select("doc_id", "text").union(odd.where("doc_id < 7").select(F.col("doc_id") + 10**6, "text"))
     rows = packing.pack_documents(docs, TOKENIZER).toPandas()
