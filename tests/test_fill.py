@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from clearstack.operators import color, components, features, plugins, poisson
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def test_poisson_equals_direct_solution(spark):
     assert (_grid(poisson.poisson_blend(_frame(spark, a=a, b=b, m=none)), "v", a.shape) == b).all()
 
 
+def test_poisson_settles_over_many_tiles(spark):
+    """Where b - a is linear the answer is b; the mask is 20 tiles across."""
+    rng = np.random.default_rng(7)
+    a = rng.uniform(0, 100, (84, 84))
+    b = a + np.add.outer(3.0 * np.arange(84), 2.0 * np.arange(84))
+    m = np.zeros((84, 84), bool)
+    m[2:82, 2:82] = True
+    m[30:33, 40] = False
+    df = _frame(spark, a=a, b=b, m=m)
+    assert np.abs(_grid(poisson.poisson_blend(df, tile=4), "v", a.shape) - b).max() < 0.1
+    with pytest.raises(RuntimeError):
+        poisson.poisson_blend(df, tile=4, rounds=2)
+
+
 def test_poisson_without_surroundings_keeps_the_fill(spark):
     a, b = np.arange(12.0).reshape(3, 4), np.zeros((3, 4))
     got = _grid(poisson.poisson_blend(_frame(spark, a=a, b=b, m=np.ones((3, 4), bool))), "v", a.shape)
