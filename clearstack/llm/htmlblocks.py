@@ -44,6 +44,8 @@ MAIN_TAGS = frozenset({"article", "main"})
 MAIN_NAMES = tuple("article content post entry story main body".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[/A-Za-z!?])[^<]*\Z", re.S)
+#: Only ASCII letters ignore case: without re.A the long s or the capital dotted I would count as s or i.
+_ENDS = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 _NAMES = re.compile(r"(?i)(?<![\w-])(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 Block = tuple[str, tuple[str, ...], int]
@@ -91,7 +93,7 @@ def blocks(page: str | None) -> list[Block]:
                 del stack[k:]
             continue
         if tag in RAW:
-            end = page.lower().find(f"</{tag}", at) if len(page) < 1 << 16 else _find_end(page, tag, at)
+            end = _find_end(page, tag, at)
             at = len(page) if end < 0 else max(page.find(">", end), end) + 1
             continue
         if tag not in INLINE:
@@ -115,7 +117,7 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def _find_end(page: str, tag: str, at: int) -> int:
-    m = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
+    m = _ENDS[tag].search(page, at)
     return m.start() if m else -1
 
 

@@ -283,6 +283,12 @@ def test_html(spark):
     assert [b[0] for b in htmlblocks.blocks("<p>a&amp;b\n c<script>x</p></script><p>d<br>e<div>f")] == ["a&b c", "d e", "f"]
 
 
+def test_html_raw_elements_end_at_their_own_tags_at_every_size():
+    for n in (1, 12, 300, 1 << 16):
+        got = [b[0] for b in htmlblocks.blocks("<p>" + "İ" * n + "</p><SCRIPT>x</ſcript><p>y</Script>kept text here<p>more</p>")]
+        assert got == ["İ" * n, "kept text here", "more"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
