@@ -103,7 +103,7 @@ def look_alikes(text: str | None, base: dict[str, list[Span]]) -> list[tuple[str
     out: list[tuple[str, int, int]] = []
     if not text:
         return out
-    if "at" in text and ("[" in text or "(" in text or "{" in text):
+    if "[" in text or "(" in text or "{" in text:
         out += [("email", *m.span()) for m in _SPELLED.finditer(text)]
     if _DIGIT.search(text):
         if text.count(":") >= 7:

@@ -192,6 +192,11 @@ def test_pii_base_spans():
         assert pii.base_spans(t) == {k: [m.span() for m in re.finditer(p, t) if holds(k, m[0])] for k, p in patterns.items()}
 
 
+def test_pii_spelled_out_email_in_capitals():
+    for text in ("JANE [AT] EXAMPLE [DOT] COM", "Jane (At) Example (Dot) Com", "jane {aT} example.com"):
+        assert pii.look_alikes(text, pii.base_spans(text)) == [("email", 0, len(text))]
+
+
 def test_pii_query(spark, odd, none):
     extra = spark.createDataFrame([(1, "mail me: jo (at) site (dot) com or +1 (456) 555-2186, 10.1.2.3"), (2, None)], "doc_id long, text string")
     out = {r.doc_id: r for r in pii.find_spans(table(spark, "documents").select((F.col("doc_id") + 100).alias("doc_id"), "text").union(extra)).collect()}
