@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +43,39 @@ def hamming_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75) -
     two = pairs.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("a"), F.count("*").alias("n"))
     second = pairs.join(two.select("id", F.col("a.match").alias("best")), "id").where("match <> best").groupBy("id").agg(F.min("distance").alias("second"))
     return two.join(second, "id").where(F.col("a.distance") < ratio * F.col("second")).select("id", "a.match", F.col("a.distance").cast("int").alias("distance"))
+
+
+def hamming_matches_among(rows: DataFrame, ratio: float = 0.75, block: int = 2000) -> DataFrame:
+    """id, match and distance as in hamming_matches, each of rows (id, bits) with unique ids matched with all others.
+
+    Every pair is compared: rows are dealt into blocks of about `block`, a task takes a pair of blocks and keeps the two
+    nearest of each row, so rows grow with the rows times the blocks.
+    """
+    blocks = max(1, -(-rows.count() // block))
+    dealt = rows.select("id", "bits", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    ones, others = dealt.select("id", "bits", F.col("own").alias("q"), every.alias("t")), dealt.select("id", "bits", F.col("own").alias("t"), every.alias("q"))
+
+    def nearest(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        other = other.sort_values("id")
+        ids, match = one["id"].to_numpy(), other["id"].to_numpy()
+        # Unsigned: of a negative number bitwise_count counts the absolute value.
+        own_bits, bits = (d["bits"].to_numpy().astype(np.uint64) for d in (one, other))
+        out = []
+        for i in range(0, len(ids) if len(match) else 0, 256):
+            own = ids[i : i + 256]
+            away = np.bitwise_count(own_bits[i : i + 256, None] ^ bits).astype(np.int64)
+            away[own[:, None] == match] = 65  # itself
+            # The order of ids within equal distances.
+            rank = away * len(match) + np.arange(len(match))
+            for _ in range(min(2, len(match))):
+                k, row = rank.argmin(axis=1), np.arange(len(own))
+                out.append(pd.DataFrame({"id": own, "match": match[k], "distance": away[row, k]}))
+                rank[row, k] = np.iinfo(np.int64).max
+        found = pd.concat(out) if out else pd.DataFrame({"id": ids[:0], "match": ids[:0], "distance": ids[:0]})
+        return found[found["distance"] < 65]
+
+    near = ones.groupBy("q", "t").cogroup(others.groupBy("q", "t")).applyInPandas(nearest, "id long, match long, distance long")
+    two = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "match"))), 1, 2).alias("n")).where(F.size("n") == 2)
+    first = F.col("n")[0]
+    return two.where(first["distance"] < ratio * F.col("n")[1]["distance"]).select("id", first["match"].alias("match"), first["distance"].cast("int").alias("distance"))

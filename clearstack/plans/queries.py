@@ -522,6 +522,13 @@ def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.hamming_matches(d.where("id >= 100"), d.where("id < 100"))
 
 
+# All pairs of rows are slow in SQL; tests compare with brute force.
+@query()
+def hamming_knn_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the table matched with all others."""
+    return register.hamming_matches_among(virtual.spectra(spark, sf_dir).select("id", register.sign_bits(F.col("bands")).alias("bits")))
+
+
 @query(_COMP + """, bx AS (SELECT blob, greatest(y0 - 40, 0) AS y0, least(y1 + 40, n - 1) AS y1, greatest(x0 - 40, 0) AS x0, least(x1 + 40, 49) AS x1 FROM ar, h),
  crop AS MATERIALIZED (SELECT bx.blob, p.dn AS cloudy, 10000 - p.dn AS res, b.m FROM bx JOIN t p ON p.y BETWEEN bx.y0 AND bx.y1 AND p.x BETWEEN bx.x0 AND bx.x1 JOIN blob b ON b.y = p.y AND b.x = p.x),
  ok AS (SELECT blob FROM crop GROUP BY blob HAVING sum(CASE WHEN m THEN 0 ELSE 1 END) >= 20),
