@@ -606,5 +606,4 @@ def reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The virtual classes are noise, of which the whole raster would become mask: the smooth blobs are the cloud.
     blob = components.written(_blob(spark, sf_dir)[0])
     pixels = t.select("y", "x", "dn").join(blob, ["y", "x"]).select("y", "x", "dn", F.when(F.col("m"), 9).otherwise(4).alias("scl"))
-    config = Config(border_ring_px=1, halo_search_px=5, dilation_max_px=5)
-    return reconstruct.reconstruct(pixels, obs, ["dn"], WIDTH, n, config).pixels
+    return reconstruct.reconstruct(pixels, obs, ["dn"], WIDTH, n, Config()).pixels
