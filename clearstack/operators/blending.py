@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearstack.operators.components import written
+from clearstack.session import written
 from clearstack.operators.neighborhood import distance_squared, gaussian, pyramid_down, pyramid_up
 
 

@@ -8,27 +8,17 @@ Every round is written to the folder in spark.checkpoint.dir; nothing but an emp
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clearstack.session import discard, written
 
-def shared_path(spark: SparkSession) -> str:
-    """A fresh name in the shared folder; where none is set, as in tests, one is made and set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="clearstack-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/clearstack/{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df by way of a table in the shared folder."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Columns in one tile in which runs are linked.
+TILE = 256
+#: Rounds of label propagation; a component of n runs takes about log n.
+MAX_ROUNDS = 60
 
 
 def label(mask: DataFrame, width: int) -> DataFrame:
@@ -37,18 +27,26 @@ def label(mask: DataFrame, width: int) -> DataFrame:
     start = F.when(F.coalesce(F.col("x") - F.lag("x").over(w) > 1, F.lit(True)), F.col("x"))
     pixels = mask.select("y", "x").withColumn("start", start).withColumn("left", F.last("start", ignorenulls=True).over(w)).drop("start")
     runs = written(pixels.groupBy("y", "left").agg(F.max("x").alias("right")).withColumn("run", F.col("y") * width + F.col("left")))
-    below = runs.select((F.col("y") - 1).alias("y"), F.col("left").alias("l"), F.col("right").alias("r"), F.col("run").alias("other"))
-    links = runs.join(below, "y").where("l <= right and r >= left").select("run", "other")
+    # Runs meet by row and tile of columns, in each tile that both reach: a run of a whole row goes to width / TILE tiles.
+    tiles = F.explode(F.sequence(F.expr(f"left div {TILE}"), F.expr(f"right div {TILE}"))).alias("tile")
+    above = runs.select("y", "left", "right", "run", tiles)
+    below = above.select((F.col("y") - 1).alias("y"), F.col("left").alias("l"), F.col("right").alias("r"), F.col("run").alias("other"), "tile")
+    met = F.expr(f"greatest(left, l) div {TILE}") == F.col("tile")  # of the tiles that both reach, the first
+    links = above.join(below, ["y", "tile"]).where(F.expr("l <= right and r >= left") & met).select("run", "other")
     ways = written(links.union(links.select(F.col("other").alias("run"), F.col("run").alias("other"))))
     labels = written(runs.select("run", F.col("run").alias("blob")))
-    while True:
+    for _ in range(MAX_ROUNDS):
         spread = ways.join(labels.select(F.col("run").alias("other"), "blob"), "other").groupBy("run").agg(F.min("blob").alias("near"))
         nearer = labels.join(spread, "run", "left").select("run", "blob", F.least("blob", F.coalesce("near", "blob")).alias("near"))
         jump = labels.select(F.col("run").alias("near"), F.col("blob").alias("far"))
         after = written(nearer.join(jump, "near").select("run", F.least("near", "far").alias("now"), (F.least("near", "far") < F.col("blob")).alias("moved")))
+        discard(labels)
         labels = after.select("run", F.col("now").alias("blob"))
+        labels._clearstack_path = after._clearstack_path
         if after.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return pixels.withColumn("run", F.col("y") * width + F.col("left")).join(labels, "run").select("y", "x", "blob")
 
 

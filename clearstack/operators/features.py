@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearstack.operators.components import written
+from clearstack.session import ship, written
 
 PATCH, BITS, HARRIS = 13, 256, 0.04
 #: Rim of a tile: the patch, turned, and the smoothing about its pixels.
@@ -79,6 +79,7 @@ def keypoints(pixels: DataFrame, width: int, height: int, limit: int = 2000, til
 
     Corners nearer to the raster's edge than a patch have no descriptor and don't count; missing pixels are 0.
     """
+    ship(pixels.sparkSession)
     tiles = lambda axis: F.sequence(F.floor((F.col(axis) - RIM) / tile), F.floor((F.col(axis) + RIM) / tile))
     dealt = pixels.select("y", "x", F.col("grey").cast("double").alias("grey"), F.explode(tiles("y")).alias("ty")).withColumn("tx", F.explode(tiles("x")))
     inside = F.col("ty").between(0, (height - 1) // tile) & F.col("tx").between(0, (width - 1) // tile)

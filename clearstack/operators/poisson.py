@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearstack.operators.components import written
+from clearstack.session import written
 
 _SCHEMA = "y long, x long, own double, keep double, m boolean, v double, moved double"
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clearstack.session import ship
+
 
 def nearest(grid: DataFrame, source: DataFrame, sy: Column, sx: Column, value: str) -> DataFrame:
     """y, x and value of the source pixel nearest to (sy, sx); 0 outside the source, as for a footprint's outside."""
@@ -51,6 +53,7 @@ def hamming_matches_among(rows: DataFrame, ratio: float = 0.75, block: int = 200
     Every pair is compared: rows are dealt into blocks of about `block`, a task takes a pair of blocks and keeps the two
     nearest of each row, so rows grow with the rows times the blocks.
     """
+    ship(rows.sparkSession)
     blocks = max(1, -(-rows.count() // block))
     dealt = rows.select("id", "bits", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))

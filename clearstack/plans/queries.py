@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clearstack.config import Config
 from clearstack.operators import blending, color, components, features, morphology, neighborhood, plugins, pointwise, poisson, register, stack
 from clearstack.plans import reconstruct
+from clearstack.session import shared_path, written
 from clearstack.sources import search, tiff, virtual
 from clearstack.sources.virtual import WIDTH
 
@@ -358,14 +359,14 @@ def remove_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 # A recursive query would give each background pixel the numbers of all others; tests flood-fill instead.
 @query()
 def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = components.written(_blob(spark, sf_dir)[0])
+    mask = written(_blob(spark, sf_dir)[0])
     return components.holes_filled(mask.where("m"), mask, WIDTH)
 
 
 @query(_COMP + """, n AS (SELECT p.y, p.x, min(struct_pack(d := dy * dy + dx * dx, b := q.blob)) AS k FROM lab q, range(-25, 26) a(dy), range(-25, 26) b(dx), t p WHERE p.y = q.y + dy AND p.x = q.x + dx AND dy * dy + dx * dx <= 625 GROUP BY p.y, p.x)
  SELECT y, x FROM n JOIN ar ON ar.blob = k.b WHERE k.d <= least(greatest(sqrt(area / pi()) * 0.30, 3), 25) * least(greatest(sqrt(area / pi()) * 0.30, 3), 25)""")
 def expand_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.expanded(components.written(_labelled(spark, sf_dir)), virtual.target(spark, sf_dir))
+    return components.expanded(written(_labelled(spark, sf_dir)), virtual.target(spark, sf_dir))
 
 
 @query(f"""WITH {_T}, {_O}, s AS (SELECT dn AS v, count(*) AS n FROM t GROUP BY dn), t2 AS (SELECT g AS v, count(*) AS n FROM o GROUP BY g),
@@ -540,8 +541,8 @@ def hamming_knn_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT t.y, t.x, round(CAST(coalesce(matched, 10000 - t.dn) AS DOUBLE), 6) AS v FROM t LEFT JOIN lab ON lab.y = t.y AND lab.x = t.x LEFT JOIN mt ON mt.blob = lab.blob AND mt.v = 10000 - t.dn""")
 def blob_histogram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     seam, n = _seam(spark, sf_dir)
-    rows = components.written(seam.select("y", "x", F.col("a").alias("result"), F.col("b").alias("cloudy"), "m"))
-    labelled = components.written(components.label(rows.where("m"), WIDTH))
+    rows = written(seam.select("y", "x", F.col("a").alias("result"), F.col("b").alias("cloudy"), "m"))
+    labelled = written(components.label(rows.where("m"), WIDTH))
     return color.blob_histogram_match(rows, labelled, WIDTH, n).withColumn("v", F.round("v", 6))
 
 
@@ -574,7 +575,7 @@ def inpaint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geotiff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two bands written as one file in the shared folder, and read again."""
     t, n = _pixels(spark, sf_dir)
-    path = components.shared_path(spark) + ".tif"
+    path = shared_path(spark) + ".tif"
     tiff.write_tiff(t.select("y", "x", "dn", (9 - F.col("scl")).alias("other")), ["dn", "other"], path, WIDTH, n)
     rows = tiff.read_tiff(spark, path)[1]
     band = lambda i, kind: F.max(F.when(F.col("band") == i, F.col("v"))).cast(kind)
@@ -586,15 +587,15 @@ def geotiff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoothed target registered to itself moved by (2, -3)."""
     t, n = _pixels(spark, sf_dir)
-    grey = components.written(neighborhood.box_sums(t, ["dn"], 5, WIDTH, n).select("y", "x", (F.col("dn") / 25.0).alias("grey")))
+    grey = written(neighborhood.box_sums(t, ["dn"], 5, WIDTH, n).select("y", "x", (F.col("dn") / 25.0).alias("grey")))
     moving = grey.select((F.col("y") + 2).alias("y"), (F.col("x") - 3).alias("x"), "grey", F.col("grey").alias("v")).where(F.col("y").between(0, n - 1) & F.col("x").between(0, WIDTH - 1))
-    return features.refined(grey, components.written(moving), ["v"], WIDTH, n)[0].withColumn("v", F.round("v", 3))
+    return features.refined(grey, written(moving), ["v"], WIDTH, n)[0].withColumn("v", F.round("v", 3))
 
 
 # Holes by SQL would give each background pixel the numbers of all others; tests check the parts.
 @query()
 def clean_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconstruct.clean_mask(components.written(_blob(spark, sf_dir)[0]), WIDTH, Config())
+    return reconstruct.clean_mask(written(_blob(spark, sf_dir)[0]), WIDTH, Config())
 
 
 @query()
@@ -604,6 +605,6 @@ def reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = virtual.observations(spark, sf_dir).join(t.select("y", "x", F.col("acq").alias("wanted")), ["y", "x"])
     obs = obs.select("y", "x", "scene", F.col("g").alias("dn"), "clear", stack.temporal_weight(stack.days_between("wanted", "acq")).alias("weight"))
     # The virtual classes are noise, of which the whole raster would become mask: the smooth blobs are the cloud.
-    blob = components.written(_blob(spark, sf_dir)[0])
+    blob = written(_blob(spark, sf_dir)[0])
     pixels = t.select("y", "x", "dn").join(blob, ["y", "x"]).select("y", "x", "dn", F.when(F.col("m"), 9).otherwise(4).alias("scl"))
     return reconstruct.reconstruct(pixels, obs, ["dn"], WIDTH, n, Config()).pixels

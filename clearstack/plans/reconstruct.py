@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clearstack.config import Config
 from clearstack.operators import blending, color, components, morphology, neighborhood, plugins, pointwise, poisson, stack
-from clearstack.operators.components import written
+from clearstack.session import written
 
 #: Told of each named stage: its name, its pixels, and the column or columns to look at.
 Keep = Callable[[str, DataFrame, list[str]], Any]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clearstack.config import Config
 from clearstack.operators import features, plugins, pointwise, register
-from clearstack.operators.components import written
+from clearstack.session import written
 from clearstack.plans.reconstruct import reconstruct
 from clearstack.sources import png, search, tiff
 from clearstack.sources.files import RunFolder

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearstack.operators.components import written
+from clearstack.session import written
 from clearstack.operators.pointwise import stretch_u8
 from clearstack.sources.files import write_bytes
 

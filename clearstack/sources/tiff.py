@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearstack.operators.components import written
+from clearstack.session import ship, written
 from clearstack.sources.files import write_bytes
 
 # Fixed values of the format: byte sizes and struct codes of field types, and tags.
@@ -225,6 +225,7 @@ def read_tiff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A missing path, a cut file and an unknown form fail. A file is read as one value, so it may have up to 2 GB.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(_metas, _META), files.mapInArrow(_pixels, "raster_id string, band int, y long, x long, v double")
 

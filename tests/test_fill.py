@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from clearstack.session import written
 from clearstack.operators import color, components, features, plugins, poisson
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def test_blob_histogram_match(spark):
         crop = slice(max(y0 - 4, 0), min(y1 + 4, 30)), slice(max(x0 - 4, 0), min(x1 + 4, 30))
         want[y0:y1, x0:x1] = _matched(r[y0:y1, x0:x1], r[crop], c[crop])
     df = _frame(spark, result=r, cloudy=c, m=m)
-    lab = components.written(components.label(df.where("m"), 30))
+    lab = written(components.label(df.where("m"), 30))
     got = _grid(color.blob_histogram_match(df, lab, 30, 30, margin=4, tile=7), "v", r.shape)
     assert np.abs(got - want).max() < 1e-9
     kept = _grid(color.blob_histogram_match(df, lab, 30, 30, margin=4, least=10000), "v", r.shape)
