@@ -1,55 +1,24 @@
-"""What the operators share: tables in the cluster's shared folder, code shipping, Arrow batches."""
+"""What the operators share: Arrow batches, bounded samples, held-out rows."""
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clearstack.session import discard, shared_dir, ship  # noqa: F401 (the operators take discard and shared_dir from here)
+from clearstack.session import written as materialize  # noqa: F401
+
 #: Rows in one Arrow batch: texts can be very long, and a worker holds a batch at a time.
 BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and make this package importable on executors that don't share the driver's disk."""
+    """Bound Arrow batches of the session and ship this package to its executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_clearstack_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, Path(root.name) / p.relative_to(root))
-    path = Path(tempfile.mkdtemp()) / "clearstack_code.zip"
-    path.write_bytes(buffer.getvalue())
-    sc.addPyFile(str(path))
-    sc._clearstack_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, a temporary one, which is then set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="clearstack-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/clearstack/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +87,3 @@ def least_hashed(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """At least the session's shuffle partitions, and more where that would give them more rows than rows_each."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
-
-
-def cores(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, os.cpu_count() or 1)

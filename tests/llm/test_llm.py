@@ -91,14 +91,34 @@ def test_near_duplicates_that_share_only_the_band_of_a_large_bucket(spark, monke
         sigs[b, neardup.ROWS :: neardup.ROWS] += np.uint32(1)  # one value of each other band
     texts = [" ".join(f"d{i}w{k}" for k in range(60)) for i in range(14)]
     texts[1], texts[9] = texts[0] + " more", texts[2] + " more"
-    reps = spark.createDataFrame([(i, s.astype("<u4").tobytes()) for i, s in enumerate(sigs)], "doc_id long, sig binary")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    members = neardup._band_keys(reps).where("band = 0").select("key", "band", "doc_id")
+    reps = spark.createDataFrame([(i, s.astype("<u4").tobytes(), 0) for i, s in enumerate(sigs)], "doc_id long, sig binary, text_bytes long")
+    reps = reps.join(docs.select("doc_id", neardup.text_key()), "doc_id").withColumn("node", F.col("doc_id"))
+    members = neardup._band_keys(reps).where("band = 0")
     labels = spark.createDataFrame([(i, 5) for i in range(5, 12)], "node long, label long")
     got = {tuple(r) for r in neardup._rest(members, reps, docs, labels, 75).collect()}
     assert got == {(0, 1), (2, 9)}
 
 
+def test_near_duplicates_of_rows_that_repeat_ids(spark):
+    """Each row is linked by its own text, and a node stands for one set, whatever ids repeat."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    near_c = c + " more"
+    rows = [(3, a), (7, a), (7, b), (7, c), (9, near_c), (3, a), (7, near_c), (None, a), (7, None)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (9, 7, False), (3, 3, True), (7, 7, True), (None, None, True), (7, 7, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_near_duplicates_in_blocks_bounded_by_bytes(spark, monkeypatch):
+    """Blocks by bytes of text give the classes that blocks by members give."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join(base[k * 12 : k * 12 + 120])) for k in range(20)] + [(100 + k, " ".join(base[300:390] + [f"z{k}"])) for k in range(12)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == components_by_force(rows)
+
+
 def test_bayes_bounds():
     least = neardup.least_matches(0.75)
     assert list(least) == sorted(least) and 60 < least[-1] < 96

@@ -34,6 +34,14 @@ def test_near_dedup_keeps_the_smallest_id_of_each_class(stages):
     assert sorted(after) == sorted(r for r in before if low[r.doc_id] == r.doc_id) and len(after) < len(before)
 
 
+def test_near_dedup_keeps_texts_of_repeated_ids(spark):
+    """Only the copy of A goes: B has an id that a duplicate has too, but a text of its own."""
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(3, a, "x", 1), (7, a, "y", 2), (7, b, "z", 3), (None, a, "n", 4), (8, None, "e", 5)], "doc_id long, text string, kept string, text_key int")
+    after = p.one_of_each(spark, docs, DATA)
+    assert after.columns == docs.columns and sorted(r.kept for r in after.collect()) == ["e", "n", "x", "z"]
+
+
 def test_decontamination_keeps_what_holds_no_item(spark, stages):
     before, after = stages["decontamination"]
     items = [words.plain_shingles(r.text) for r in table(spark, "benchmark").collect()]
