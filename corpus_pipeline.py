@@ -21,12 +21,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id; rows with a null id stay."""
-    found = neardup.near_duplicates(docs)
-    gone = materialize(found.where(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
+    """Of each class of near duplicates the document with the smallest id; rows with a null id stay.
+
+    A row goes by its id and its text, so of rows that repeat an id each goes or stays by its own text; rows that repeat
+    both are one document, and share its fate.
+    """
+    found = neardup.decisions(docs)
+    gone = materialize(found.where(~F.col("kept")).select("doc_id", "text_key").distinct(), "near-duplicates")
     if gone.count() <= neardup.BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    same = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
