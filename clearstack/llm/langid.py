@@ -26,6 +26,8 @@ MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 #: Letters that are counted at once; a longer text is counted in parts, whole.
 _PART = 1 << 21
+#: Cells of the table of groups by distinct trigrams (12 bytes each): more groups than fit are taken in parts.
+_CELLS = 1 << 23
 
 
 def _letter_slots() -> np.ndarray:
@@ -78,11 +80,19 @@ def bundles(groups: list[int], codes: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def _bundle(out: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> None:
+    """Adds trigrams to their groups; owners ascend. Of scripts with many letters, few groups make a table at a time."""
+    if not len(codes):
+        return
     seen = np.bincount(codes, minlength=1 << 21) > 0
     distinct = np.flatnonzero(seen)
-    place = np.cumsum(seen) - 1
-    low = int(owner.min())
-    rows = int(owner.max()) - low + 1
+    low = int(owner[0])
+    rows = int(owner[-1]) - low + 1
+    if rows > 1 and rows * len(distinct) > _CELLS:
+        cut = int(np.searchsorted(owner, low + rows // 2))
+        _bundle(out, owner[:cut], codes[:cut])
+        _bundle(out, owner[cut:], codes[cut:])
+        return
+    place = np.cumsum(seen, dtype=np.int32) - 1
     counts = np.bincount((owner - low) * len(distinct) + place[codes], minlength=rows * len(distinct)).reshape(rows, -1).astype(np.float32)
     for k in range(0, len(distinct), 4096):
         out[low : low + rows] += counts[:, k : k + 4096] @ trigram_vectors(distinct[k : k + 4096])

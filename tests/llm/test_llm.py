@@ -235,6 +235,54 @@ def test_language(spark, odd, none):
     assert out[0] == out[1] == out[2] == "und" and langid.identify(none).count() == 0
 
 
+def naive_profile(text):
+    """Each trigram's vector is bound from its letters' vectors and added, one after another."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    letters = " " + " ".join(letters.split()) + " "
+    slot = lambda c: 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) * 40503 % 65536 % 101
+    total = np.zeros(langid.DIMENSIONS)
+    for k in range(len(letters) - 2):
+        x, y, z = (langid._LETTERS[slot(c)].astype(int) for c in letters[k : k + 3])
+        total += np.roll(x, 2) * np.roll(y, 1) * z
+    return total
+
+
+def test_language_by_force(spark, monkeypatch):
+    """Predictions and scores equal those of naive profiles; ties go to the first language by name."""
+    texts = ["the cat sat on the mat", "le chat est sur le tapis là", "der Hund läuft über die Straße", "日本 語の文 章です", "el perro corre", "tie tie", "Ünï 日 çödé"]
+    rows = [(i, t, ["en", "fr", "de", "ja", "es"][i % 5] if i != 5 else "zz") for i, t in enumerate(texts * 3)] + [(100, "the cat sat on the mat", "aa"), (101, None, "en"), (102, "12 34", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    import zlib
+
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and t and any(c.isalpha() for c in t)]
+    profiles = {lang: sum(naive_profile(t) for t, o in learned if o == lang) for lang in sorted({lang for _, lang in learned})}
+    for cells in (1 << 23, 40):
+        monkeypatch.setattr(langid, "_CELLS", cells)
+        for r in langid.identify(docs).collect():
+            text = {i: t for i, t, _ in rows}[r.doc_id]
+            if not text or not any(c.isalpha() for c in text):
+                assert (r.lang_pred, r.score) == ("und", 0.0)
+                continue
+            own = naive_profile(text)
+            near = {k: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for k, v in profiles.items()}
+            best = max(near.values())
+            assert abs(r.score - max(best, 0)) < 1e-6 and r.lang_pred in [k for k in near if near[k] > best - 1e-9]
+    same = spark.createDataFrame([(i, "one text here", "b" if i % 2 else "a") for i in range(1, 40)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(same).collect()} == {"a"}
+
+
+def test_language_memory_of_many_letters():
+    """512 texts of 4,000 letters out of 20,000 are bundled in bounded memory."""
+    import resource
+
+    rng = np.random.default_rng(3)
+    codes = [langid.trigrams("".join(map(chr, rng.integers(0x4E00, 0x9C00, 4000)))) for _ in range(512)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = langid.bundles(list(range(512)), codes, 512)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert (langid.bundles([0], codes[-1:], 1)[0] == out[-1]).all()
+
+
 def test_quality(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).join(labels, "doc_id").where("held_out")
