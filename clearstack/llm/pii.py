@@ -1,25 +1,31 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a span classifier decides.
 
-Candidates are the base spans (fixed patterns with their checks) and looser look-alikes of the same four kinds: spelled-out
-mail addresses, addresses of other shapes, digit groups. On each candidate five labelers vote yes, no or nothing:
+Candidates are the base spans (fixed patterns with their checks) and look-alikes of the same four kinds: spelled-out
+mail addresses, IPv6 addresses, card numbers in other separators, phone numbers without a plus, and matches of the base
+patterns that fail their checks. On each candidate six labelers vote yes, no or nothing:
 
-- pattern: the strict pattern and its check hold;
-- checksum: Luhn, parts of an address, digit counts;
-- gazetteer: top-level domains, card issuer digits, reserved address blocks, dialling codes;
+- pattern: yes for a base span, no for a match that fails its check;
+- checksum: Luhn, a well-formed address, digit counts;
+- gazetteer: top-level domains, issuer digits, address blocks, dialling forms;
 - context: words before the span that announce it, or something else;
-- edges: what touches the span.
-
-Votes are counted by pattern over all documents; expectation-maximisation (Dawid and Skene, with abstention) on these few
-counts gives each labeler's reliability by kind and each pattern's posterior, and a logistic classifier over votes and shape
-is trained on the posteriors. Base spans always stay; a look-alike is added where the classifier gives ADD or more and it
-overlaps no base span. One narrow scan finds candidates; only vote counts reach the driver.
+- edges: no where a letter or a sign of code touches the span;
+- calendar: no for dates, times and rows of years.
+
+Votes are counted by pattern over all documents. Expectation-maximisation (Dawid and Skene) on these counts estimates how
+often each labeler is right on true and on false spans of a kind; a labeler that says nothing tells nothing, pseudo-counts
+(PRIOR) hold what is assumed before any vote, and base spans and look-alikes have shares of true spans of their own. The label
+model gives each pattern a posterior, and a logistic classifier over votes and shape is trained on the posteriors of the
+counted patterns and, with little weight, of all possible ones. Base spans always stay; a look-alike is added where the
+classifier gives ADD or more and it overlaps no base span. One narrow scan finds candidates; only vote counts reach the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import itertools
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,9 +35,13 @@ from pyspark.sql import functions as F
 from clearstack.llm.common import arrow_map, materialize, prepare
 
 KINDS = ("email", "ip", "card", "phone")
-LABELERS = ("pattern", "checksum", "gazetteer", "context", "edges")
+LABELERS = ("pattern", "checksum", "gazetteer", "context", "edges", "calendar")
 SHAPES = 8
 ADD = 0.9
+#: Pseudo-counts of right and wrong votes of each labeler, and of true and false look-alikes (base spans: the other way round).
+PRIOR, LOOSE = (9.0, 1.0), (1.0, 3.0)
+#: Weight in training of a vote pattern that was not counted.
+UNSEEN = 0.25
 _ROUNDS = 50
 
 # The gazetteers and cue words of the labelers.
@@ -51,9 +61,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+_DOT_WORD = re.compile(r"(?i)\sdot\s")
 _SPELLED = re.compile(r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}\s?[\[({]\s?at\s?[\])}]\s?[A-Z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?dot\s?[\])}])\s?[A-Z0-9-]{1,63}){1,4}")
-_IP6 = re.compile(r"(?i)(?<![0-9a-f:.])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:.])")
-_GROUPS = re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,5}\)?(?:[ .-]\(?[0-9]{2,5}\)?){1,4}(?![0-9A-Za-z.-])")
+_IN_WORDS = re.compile(r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64} at [A-Z0-9-]{1,63}(?: dot [A-Z0-9-]{2,63}){1,4}(?![A-Z0-9-])")
+_IP6 = re.compile(r"(?i)(?<![0-9a-z:.])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?)(?![0-9a-z:.])")
+_CARD_GROUPS = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20./_\u00a0\u2010-\u2015-]{1,3}[0-9]{2,7}){2,4}(?![0-9A-Za-z])")
+_PHONE_GROUPS = re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9A-Za-z.-])")
+_YEAR, _DAY = "(?:19|20)[0-9]{2}", "[0-9]{1,2}"
+_CALENDAR = re.compile(rf"(?<![0-9]){_YEAR}[-./ ]{_DAY}[-./ ]{_DAY}(?![0-9])|(?<![0-9]){_DAY}[-./ ]{_DAY}[-./ ]{_YEAR}(?![0-9])|(?<![0-9]){_YEAR}(?:[-./ ]{{1,3}}{_YEAR})+(?![0-9])")
+_US_PHONE = re.compile(r"\(?[2-9][0-9]{2}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}")
 
 Span = tuple[int, int]
 
@@ -67,6 +83,10 @@ def luhn(s: str) -> bool:
     return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
 
 
+def _is_ip(s: str) -> bool:
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))
+
+
 def emails(text: str) -> list[Span]:
     """Leftmost matches of the base pattern, found from their @: linear in the text, also without matches."""
     out: list[Span] = []
@@ -91,61 +111,110 @@ def base_spans(text: str | None) -> dict[str, list[Span]]:
     if "@" in text:
         out["email"] = emails(text)
     if _DIGIT.search(text):
-        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        out["ip"] = [m.span() for m in _IP.finditer(text) if _is_ip(m[0])]
         out["card"] = [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(_digits(m[0])) <= 19 and luhn(m[0])]
         if "+" in text:
             out["phone"] = [m.span() for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return out
 
 
+def _failing(text: str) -> list[tuple[str, int, int]]:
+    """Matches of the base patterns that fail their checks, of a length that might be taken for the kind."""
+    out = [("ip", *m.span()) for m in _IP.finditer(text) if not _is_ip(m[0]) and m.end() - m.start() <= 15]
+    out += [("card", *m.span()) for m in _CARD.finditer(text) if 13 <= m.end() - m.start() <= 37 and 13 <= len(_digits(m[0])) <= 19 and not luhn(m[0])]
+    if "+" in text:
+        out += [("phone", *m.span()) for m in _PHONE.finditer(text) if len(_digits(m[0])) in (7, 8, 16, 17)]
+    return out
+
+
 def look_alikes(text: str | None, base: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
-    """Looser candidates that overlap no base span."""
+    """Looser candidates that overlap no base span; of those of a kind that overlap each other the leftmost, then the longest."""
     out: list[tuple[str, int, int]] = []
     if not text:
         return out
     if "[" in text or "(" in text or "{" in text:
         out += [("email", *m.span()) for m in _SPELLED.finditer(text)]
+    if _DOT_WORD.search(text):
+        out += [("email", *m.span()) for m in _IN_WORDS.finditer(text)]
+    if "::" in text or text.count(":") >= 7:
+        out += [("ip", *m.span()) for m in _IP6.finditer(text) if m.end() - m.start() > 2]
     if _DIGIT.search(text):
-        if text.count(":") >= 7:
-            out += [("ip", *m.span()) for m in _IP6.finditer(text)]
-        for m in _GROUPS.finditer(text):
-            n = len(_digits(m[0]))
-            if 13 <= n <= 19:
-                out.append(("card", *m.span()))
-            elif 9 <= n <= 12:
-                out.append(("phone", *m.span()))
+        out += _failing(text)
+        out += [("card", *m.span()) for m in _CARD_GROUPS.finditer(text) if 13 <= len(_digits(m[0])) <= 19 and not _CARD.fullmatch(m[0])]
+        out += [("phone", *m.span()) for m in _PHONE_GROUPS.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     taken = sorted(s for spans in base.values() for s in spans)
     kept, i = [], 0
-    for kind, a, b in sorted(out, key=lambda s: (s[1], -s[2])):
+    end = dict.fromkeys(KINDS, 0)
+    for kind, a, b in sorted(out, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if (i == len(taken) or taken[i][0] >= b) and (not kept or kept[-1][2] <= a):
+        if (i == len(taken) or taken[i][0] >= b) and end[kind] <= a:
+            end[kind] = b
+            kept.append((kind, a, b))
+    return kept
+
+
+def accepted(more: list[tuple[str, int, int]], patterns: list[str], model: SpanClassifier) -> list[tuple[str, int, int]]:
+    """Of look-alikes with their patterns those that reach ADD; of those that overlap the likeliest, then the leftmost."""
+    likely = sorted((-p, a, b, kind) for (kind, a, b), p in zip(more, map(model.probability, patterns), strict=True) if p >= ADD)
+    kept: list[tuple[str, int, int]] = []
+    for _, a, b, kind in likely:
+        if all(b <= x or y <= a for _, x, y in kept):
             kept.append((kind, a, b))
     return kept
 
 
+def _base_shape(kind: str, s: str) -> bool:
+    return kind != "email" and {"ip": _IP, "card": _CARD, "phone": _PHONE}[kind].fullmatch(s) is not None
+
+
+def _is_ip6(s: str) -> bool:
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    return True
+
+
+def _email_votes(s: str) -> tuple[int, int]:
+    parts = re.split(r"[^a-z0-9]+", s.lower().rstrip(" ])}"))
+    spelled = "@" in s or _SPELLED.fullmatch(s) is not None
+    return int(spelled and parts[-1].isalpha()), 1 if parts[-1] in TOP_DOMAINS else 0 if "@" in s else 2
+
+
+def _ip_votes(s: str) -> tuple[int, int]:
+    if ":" in s:
+        first = int(s.split(":")[0] or "0", 16)
+        return 1 if _is_ip6(s) else 2, 1 if first >> 13 == 1 or first >> 9 == 0x7E or first >> 6 == 0x3FA else 2
+    first = s.split(".")[0].lstrip("0")
+    return 1 if _is_ip(s) else 2, 2 if first in ("", "127", "255") else 1
+
+
+def _card_votes(s: str) -> tuple[int, int]:
+    d = _digits(s)
+    issuer = {3: (14, 15), 4: (13, 16, 19), 5: (16,), 6: (16, 17, 18, 19), 2: (16,)}
+    return 1 if 13 <= len(d) <= 19 and luhn(s) else 2, 1 if len(d) in issuer.get(d[0], ()) else 2
+
+
+def _phone_votes(s: str) -> tuple[int, int]:
+    good = 9 <= len(_digits(s)) <= 15
+    return (1 if s.startswith("+") else 0) if good else 2, 1 if s.startswith(("+", "00")) or _US_PHONE.fullmatch(s) else 0
+
+
+_OWN = {"email": _email_votes, "ip": _ip_votes, "card": _card_votes, "phone": _phone_votes}
+
+
 def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[tuple[int, ...], int]:
     """The labelers' votes (1 yes, 2 no, 0 nothing) and a shape class under SHAPES."""
     s = text[start:end]
     before, after = text[max(0, start - 40) : start], text[end : end + 1]
-    d = _digits(s)
-    if kind == "email":
-        checksum = 1 if re.search(r"[A-Za-z]{2,}$", s) else 2
-        gazetteer = 1 if re.split(r"[^a-z0-9]+", s.lower())[-1] in TOP_DOMAINS else 0
-    elif kind == "ip":
-        checksum = 1 if ":" in s or strict else 2
-        gazetteer = 0 if ":" in s else 2 if s.startswith(("0.", "127.", "255.")) else 1 if s.count(".") == 3 else 0
-    elif kind == "card":
-        checksum = 1 if 13 <= len(d) <= 19 and luhn(s) else 2
-        gazetteer = 1 if d[:1] and d[0] in (3, 4, 5, 6) else 2
-    else:
-        checksum = 1 if 9 <= len(d) <= 15 else 2
-        gazetteer = 1 if s.startswith("+") or s.startswith("(") else 0
+    pattern = 1 if strict else 2 if _base_shape(kind, s) else 0
+    checksum, gazetteer = _OWN[kind](s)
     context = 1 if CUES[kind].search(before) else 2 if OTHER_CUES.search(before) else 0
-    touch = before[-1:] + after
-    edges = 2 if any(c.isalnum() or c in "=_/#\\" for c in touch) else 1
+    edges = 2 if any(c.isalnum() or c in "=_/#\\" for c in before[-1:] + after) else 0
+    calendar = 2 if kind in ("card", "phone") and not strict and _CALENDAR.search(s) else 0
     shape = (1 if " " in s else 0) + (2 if "-" in s or "." in s else 0) + (4 if "(" in s or "[" in s else 0)
-    return (1 if strict else 0, checksum, gazetteer, context, edges), shape
+    return (pattern, checksum, gazetteer, context, edges, calendar), shape
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -171,62 +240,82 @@ def _pattern(text: str, kind: str, start: int, end: int, strict: bool) -> str:
     return f"{kind}|{''.join(map(str, v))}|{shape}"
 
 
-def reliabilities(counts: dict[str, int]) -> tuple[dict[str, float], dict[tuple[str, str], np.ndarray]]:
-    """Posterior of each pattern, and P(vote | truth) of each (kind, labeler) as a (2, 3) array, by EM on pattern counts."""
-    posterior: dict[str, float] = {}
-    tables: dict[tuple[str, str], np.ndarray] = {}
-    for kind in KINDS:
-        own = sorted(p for p in counts if p.split("|")[0] == kind)
-        if not own:
-            continue
-        v = np.array([[int(c) for c in p.split("|")[1]] for p in own])
-        n = np.array([counts[p] for p in own], float)
-        q = np.clip(0.5 + 0.2 * ((v == 1).sum(axis=1) - (v == 2).sum(axis=1)), 0.05, 0.95)  # the majority
-        for _ in range(_ROUNDS):
-            prior = (n @ q + 1) / (n.sum() + 2)
-            table = np.empty((v.shape[1], 2, 3))
-            for j, c in itertools.product(range(v.shape[1]), range(3)):
-                hit = (v[:, j] == c) * n
-                table[j, 1, c], table[j, 0, c] = hit @ q + 1 + (c == 1), hit @ (1 - q) + 1 + (c == 2)
-            table /= table.sum(axis=2, keepdims=True)
-            score = np.log(prior / (1 - prior)) + sum(np.log(table[j, 1, v[:, j]] / table[j, 0, v[:, j]]) for j in range(v.shape[1]))
-            q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        posterior |= dict(zip(own, q.tolist(), strict=True))
-        tables |= {(kind, LABELERS[j]): table[j] for j in range(v.shape[1])}
-    return posterior, tables
-
-
-def _features(pattern: str) -> np.ndarray:
-    kind, v, shape = pattern.split("|")
+class LabelModel:
+    """Of each kind the share of true spans among base spans and look-alikes, and how often each labeler says yes on true and false ones."""
+
+    def __init__(self, counts: dict[str, int]) -> None:
+        self.share: dict[str, np.ndarray] = {}  # by kind: of look-alikes, of base spans
+        self.yes: dict[str, np.ndarray] = {}  # by kind: (labeler, truth)
+        for kind in KINDS:
+            own = sorted(p for p in counts if p.startswith(kind + "|"))
+            v = np.array([[int(c) for c in p.split("|")[1]] for p in own], int).reshape(len(own), len(LABELERS))
+            self._fit(kind, v, np.array([counts[p] for p in own], float))
+
+    def _fit(self, kind: str, v: np.ndarray, n: np.ndarray) -> None:
+        right, wrong = PRIOR
+        # Before any count: what the pseudo-counts say.
+        self.share[kind] = np.array([LOOSE[0], LOOSE[1]]) / sum(LOOSE)
+        self.yes[kind] = np.tile(np.array([wrong, right]) / (right + wrong), (len(LABELERS), 1))
+        strict = (v[:, 0] == 1).astype(int)
+        for _ in range(_ROUNDS if len(v) else 0):
+            q = self.posteriors(kind, v)
+            for g in (0, 1):
+                of = (strict == g) * n
+                self.share[kind][g] = (of @ q + LOOSE[g]) / (of.sum() + sum(LOOSE))
+            for j in range(len(LABELERS)):
+                yes, voted = (v[:, j] == 1) * n, (v[:, j] > 0) * n
+                self.yes[kind][j] = (yes @ (1 - q) + wrong) / (voted @ (1 - q) + right + wrong), (yes @ q + right) / (voted @ q + right + wrong)
+
+    def posteriors(self, kind: str, v: np.ndarray) -> np.ndarray:
+        """P(true) of rows of votes."""
+        share = self.share[kind][(v[:, 0] == 1).astype(int)]
+        score = np.log(share / (1 - share))
+        for j in range(len(LABELERS)):
+            false, true = self.yes[kind][j]
+            score = score + np.where(v[:, j] == 1, np.log(true / false), np.where(v[:, j] == 2, np.log((1 - true) / (1 - false)), 0.0))
+        return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+
+
+def _features(kind: str, v: Sequence[int], shape: int) -> np.ndarray:
     x = np.zeros(len(KINDS) * (1 + 2 * len(LABELERS)) + SHAPES)
     base = KINDS.index(kind) * (1 + 2 * len(LABELERS))
     x[base] = 1
     for j, c in enumerate(v):
-        if c != "0":
-            x[base + 2 * j + int(c)] = 1
-    x[-SHAPES + int(shape)] = 1
+        if c:
+            x[base + 2 * j + c] = 1
+    x[-SHAPES + shape] = 1
     return x
 
 
+def _parsed(pattern: str) -> tuple[str, tuple[int, ...], int]:
+    kind, v, shape = pattern.split("|")
+    return kind, tuple(map(int, v)), int(shape)
+
+
 class SpanClassifier:
-    """Logistic regression over votes and shape, trained on EM posteriors of counted patterns by Newton steps."""
+    """Logistic regression over votes and shape, trained on the label model's posteriors by Newton steps.
+
+    Counted patterns weigh the root of their count, so frequent ones count more, yet don't drown the rest.
+    """
 
     def __init__(self, counts: dict[str, int]) -> None:
-        self.posterior, self.tables = reliabilities(counts)
-        names = sorted(self.posterior)
-        self.weights = np.zeros(len(KINDS) * (1 + 2 * len(LABELERS)) + SHAPES)
-        if not names:
-            return
-        x = np.array([_features(p) for p in names])
-        q = np.array([self.posterior[p] for p in names])
-        n = np.sqrt([counts[p] for p in names])  # frequent patterns count more, yet don't drown the rest
+        self.model = LabelModel(counts)
+        rows = [(*_parsed(p), float(np.sqrt(counts[p]))) for p in sorted(counts)]
+        rows += [(kind, v, 0, UNSEEN) for kind in KINDS for v in itertools.product(range(3), repeat=len(LABELERS)) if v[4] != 1 and v[5] != 1]
+        x = np.array([_features(*r[:3]) for r in rows])
+        q = np.array([self.model.posteriors(r[0], np.array([r[1]]))[0] for r in rows])
+        n = np.array([r[3] for r in rows])
+        self.weights = np.zeros(x.shape[1])
+        self._known: dict[str, float] = {}
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
             hessian = (x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
             self.weights += np.linalg.solve(hessian, x.T @ (n * (q - p)) - 0.1 * self.weights)
 
     def probability(self, pattern: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(_features(pattern) @ self.weights, -30, 30))))
+        if pattern not in self._known:  # patterns are few
+            self._known[pattern] = float(1 / (1 + np.exp(-np.clip(_features(*_parsed(pattern)) @ self.weights, -30, 30))))
+        return self._known[pattern]
 
 
 def train(found: DataFrame) -> SpanClassifier:
@@ -235,6 +324,17 @@ def train(found: DataFrame) -> SpanClassifier:
     return SpanClassifier({r[0]: r[1] for r in counts})
 
 
+def outcomes(found: DataFrame, model: SpanClassifier) -> dict[tuple[str, str], int]:
+    """How many candidates of each kind are base spans, accepted and rejected, from candidates()."""
+    counts = found.select(F.explode("patterns").alias("p")).groupBy("p").count().collect()
+    out: dict[tuple[str, str], int] = {}
+    for p, n in counts:
+        kind, v, _ = _parsed(p)
+        key = kind, "base" if v[0] == 1 else "accepted" if model.probability(p) >= ADD else "rejected"
+        out[key] = out.get(key, 0) + n
+    return out
+
+
 def spans_in_order(spans: list[str]) -> list[str]:
     return sorted(spans, key=lambda s: (KINDS.index(s.split(":")[0]), int(s.split(":")[1])))
 
@@ -251,7 +351,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     def run(b: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
         for i, base, more, patterns in zip(b["doc_id"], b["base"], b["looser"], b["patterns"], strict=True):
-            added = [s for s, p in zip(more, patterns[len(base) :], strict=True) if model.probability(p) >= ADD]
+            loose = [(k, int(a), int(e)) for k, a, e in (s.split(":") for s in more)]
+            added = [f"{k}:{a}:{e}" for k, a, e in accepted(loose, patterns[len(base) :], model)]
             out["doc_id"].append(i)
             for k in KINDS:
                 out[f"n_{k}"].append(sum(s.startswith(k) for s in base))
@@ -268,7 +369,8 @@ def redact_text(text: str | None, model: SpanClassifier) -> str | None:
         return text
     base = base_spans(text)
     spans = [(a, e, k) for k in KINDS for a, e in base[k]]
-    spans += [(a, e, k) for k, a, e in look_alikes(text, base) if model.probability(_pattern(text, k, a, e, False)) >= ADD]
+    more = look_alikes(text, base)
+    spans += [(a, e, k) for k, a, e in accepted(more, [_pattern(text, k, a, e, False) for k, a, e in more], model)]
     if not spans:
         return text
     out, end = [], 0

@@ -200,16 +200,20 @@ def test_rollup(spark, tmp_path, odd):
     assert r.totals().agg(F.sum("tokens")).first()[0] == expected["tokens"]
 
 
-def test_pii_base_spans():
-    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_holds(kind, s):
+    d = re.sub("[^0-9]", "", s)
+    luhn = lambda: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+    return {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in s.split(".")), "card": lambda: 13 <= len(d) <= 19 and luhn(), "phone": lambda: 9 <= len(d) <= 15}[kind]()
 
-    def holds(kind, s):
-        d = re.sub("[^0-9]", "", s)
-        return {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in s.split(".")), "card": lambda: 13 <= len(d) <= 19 and pii.luhn(d), "phone": lambda: 9 <= len(d) <= 15}[kind]()
+
+def test_pii_base_spans():
 
     texts = ["a@b.c@d.e x@y @z.com a@@b.com a@b..c a@b.c..d", "1.2.3.4.5.6.7.8 999.1.1.1 1.2.3 01.002.3.255", "4111 1111-1111 1111 4111111111111111222 4111111111111111", "+1 (555) 123-4567--89 +12 +1234567890123456 ++1 222 333 4444", "", "9" * 3000]
     for t in texts:
-        assert pii.base_spans(t) == {k: [m.span() for m in re.finditer(p, t) if holds(k, m[0])] for k, p in patterns.items()}
+        assert pii.base_spans(t) == {k: [m.span() for m in re.finditer(p, t) if base_holds(k, m[0])] for k, p in BASE.items()}
 
 
 def test_pii_spelled_out_email_in_capitals():
@@ -217,6 +221,67 @@ def test_pii_spelled_out_email_in_capitals():
         assert pii.look_alikes(text, pii.base_spans(text)) == [("email", 0, len(text))]
 
 
+PLANTED = {
+    "accepted": ["write to jo (at) site (dot) com today", "mail: jo [at] site.org", "contact jo at site dot com", "server 2001:db8::8a2e:370:7334 up", "card 4111.1111.1111.1111 ok", "4111 / 1111 / 1111 / 1111 x", "call (555) 123-4567 now", "tel: 0044 20 7946 0958"],
+    "rejected": ["4111 1111 1111 1112 in a list", "9807915762804490 raie", "host 999.1.2.300 not", "2024-01-15 12 30 01", "years 1998 1999 2000 2001 and", "look at this dot matrix", "ratio ab::cd here", "order 555-123-4567 shipped", "isbn 978 0306 40615 7", "sum 123 456 789 000"],
+}
+
+
+def test_pii_votes_accept_and_reject(spark):
+    """What the look-alikes become, trained on themselves and on base spans; context, checks and calendar decide."""
+    base = ["mail a.b@c.com", "ip 10.1.2.3", "card 4111111111111111", "+1 (456) 555-2186"] * 30
+    texts = base + PLANTED["accepted"] + PLANTED["rejected"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_spans(docs).collect()}
+    for i, t in enumerate(texts):
+        want = 1 if t in base or t in PLANTED["accepted"] else 0
+        assert len([x for x in got[i].split(",") if x]) == want, (t, got[i])
+    found = pii.candidates(docs)
+    out = pii.outcomes(found, pii.train(found))
+    assert sum(n for (_, k), n in out.items() if k == "accepted") == len(PLANTED["accepted"])
+    assert sum(n for (_, k), n in out.items() if k == "rejected") >= 7 and out[("card", "rejected")] >= 2
+
+
+def test_pii_label_model_by_force():
+    """EM over single candidates, one vote at a time, gives what EM over counted patterns gives."""
+    counts = {"card|110000|0": 40, "card|220000|0": 9, "card|222000|1": 5, "card|011100|0": 3, "card|002020|2": 4, "phone|001100|4": 2}
+    rows = [pii._parsed(p)[1] for p, n in counts.items() if p.startswith("card") for _ in range(n)]
+    share, yes = [0.25, 0.75], [[0.1, 0.9] for _ in pii.LABELERS]
+
+    def posterior(v):
+        odds = share[v[0] == 1] / (1 - share[v[0] == 1])
+        for j, c in enumerate(v):
+            if c:
+                odds *= yes[j][1] / yes[j][0] if c == 1 else (1 - yes[j][1]) / (1 - yes[j][0])
+        return odds / (1 + odds)
+
+    for _ in range(pii._ROUNDS):
+        q = [posterior(v) for v in rows]
+        for g in (0, 1):
+            own = [p for p, v in zip(q, rows) if (v[0] == 1) == bool(g)]
+            share[g] = (sum(own) + pii.LOOSE[g]) / (len(own) + 4)
+        for j in range(len(pii.LABELERS)):
+            for truth in (0, 1):
+                weight = [p if truth else 1 - p for p in q]
+                voted = sum(w for w, v in zip(weight, rows) if v[j])
+                said = sum(w for w, v in zip(weight, rows) if v[j] == 1)
+                yes[j][truth] = (said + pii.PRIOR[1 - truth]) / (voted + 10)
+    model = pii.LabelModel(counts)
+    assert np.allclose(model.yes["card"], yes) and np.allclose(model.share["card"], share)
+    assert np.allclose([model.posteriors("card", np.array([v]))[0] for v in rows], [posterior(v) for v in rows])
+    assert model.posteriors("card", np.array([[0, 1, 1, 0, 0, 0]]))[0] > 0.9 > model.posteriors("card", np.array([[2, 2, 1, 0, 0, 0]]))[0]
+
+
+def test_pii_columns_by_force(spark):
+    """Counts and base_sha256 of the whole table, from the contract's patterns with re."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in pii.find_spans(docs).collect()}
+    for i, t in docs.select("doc_id", "text").collect():
+        spans = {k: [m.span() for m in re.finditer(p, t or "") if base_holds(k, m[0])] for k, p in BASE.items()}
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{e}" for k, own in spans.items() for a, e in own).encode()).hexdigest()
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone, got[i].base_sha256) == (*map(len, spans.values()), digest)
+
+
 def test_pii_query(spark, odd, none):
     extra = spark.createDataFrame([(1, "mail me: jo (at) site (dot) com or +1 (456) 555-2186, 10.1.2.3"), (2, None)], "doc_id long, text string")
     out = {r.doc_id: r for r in pii.find_spans(table(spark, "documents").select((F.col("doc_id") + 100).alias("doc_id"), "text").union(extra)).collect()}
