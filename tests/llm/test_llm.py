@@ -421,6 +421,32 @@ def test_html(spark):
     assert [b[0] for b in htmlblocks.blocks("<p>a&amp;b\n c<script>x</p></script><p>d<br>e<div>f")] == ["a&b c", "d e", "f"]
 
 
+def test_html_takes_time_in_proportion():
+    """Pages of a megabyte that nest, cut off or quote tags in odd ways; each took minutes or more by rescanning."""
+    import time
+
+    pages = ["<a " * 350_000, '<a ">"' * 150_000, "<a '\">" * 150_000, "<div>x" * 10_000, "<div>" * 10_000 + "x</b>" * 100_000, "<" * 500_000, "<p>a<b>" * 20_000, "<i class=\"a" * 80_000]
+    began = time.time()
+    cut = [htmlblocks.blocks(p) for p in pages]
+    htmlblocks.label(cut, htmlblocks.BiLstm())
+    assert time.time() - began < 60
+    assert [len(b) for b in cut][3] == 10_000 and cut[3][-1][1].depth == 10_000 and cut[3][4][1].elements() == ("div",) * 5
+
+
+def test_html_keeps_what_is_shown():
+    page = "<p>where <math><mi>x</mi></math> is <noscript>shown</noscript> big, <object>an o</object> <img src=x> and <svg><title>no</title><text>t</text></svg>.</p><xmp><b>&amp;</xmp><p>a <custom-tag>b</custom-tag> <a href='x>y'>c</a> 1 < 2 <a href=\"x>d</a> e <select><option>no</select><!-- no --><textarea>no</textarea>f</p><p>g <b"
+    assert [b[0] for b in htmlblocks.blocks(page)] == ["where x is shown big, an o and t.", "<b>&amp;", "a b c 1 < 2 d e f", "g"]
+
+
+def test_html_odd_tables(spark):
+    """Empty tables, repeated rows, null ids and columns named as the result's."""
+    rows = [(1, "u", "<article><p>one two three</article>", "x", 5), (1, "u", "<article><p>one two three</article>", "x", 5), (None, None, "<p>" + "word " * 30, "y", None), (3, "u", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    out = htmlblocks.extract(pages).collect()
+    assert len(out) == 4 and [r.text for r in out if r.page_id == 3] == [""] and len({r.text for r in out if r.page_id == 1}) == 1
+    assert htmlblocks.extract(pages.limit(0)).count() == 0
+
+
 def test_html_raw_elements_end_at_their_own_tags_at_every_size():
     for n in (1, 12, 300, 1 << 16):
         got = [b[0] for b in htmlblocks.blocks("<p>" + "İ" * n + "</p><SCRIPT>x</ſcript><p>y</Script>kept text here<p>more</p>")]
