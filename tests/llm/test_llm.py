@@ -137,6 +137,19 @@ def test_decontamination(spark, odd, none):
     assert decontam.decontaminate(none, few).count() == 0 and decontam.decontaminate(odd, few.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_by_joins(spark, odd, monkeypatch):
+    """Items beyond the broadcast bound give the same answers by joins, on odd rows and repeated ids too."""
+    docs, items = table(spark, "documents"), table(spark, "benchmark")
+    few = spark.createDataFrame([(1, "two three"), (2, None), (3, "one three"), (None, "x"), (4, "same text here and there again"), (4, "one two three")], "item_id long, text string")
+    cases = [(docs, items), (odd, few), (odd.limit(0), few), (odd, few.limit(0))]
+    rows = lambda d, i: sorted(map(str, decontam.decontaminate(d, i).collect()))
+    kept = lambda d, i: sorted(map(str, decontam.uncontaminated(d, i).collect()))
+    want = [(rows(*c), kept(*c)) for c in cases]
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", -1)
+    assert [(rows(*c), kept(*c)) for c in cases] == want
+    assert any("contaminated=True" in r for r in want[0][0]) and any("contaminated=True" in r for r in want[1][0])
+
+
 def test_fingerprints(spark, odd, none):
     docs = table(spark, "documents")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
