@@ -36,8 +36,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
-    holds = decontam.is_contaminated(decontam.item_blocks(table(spark, sf_dir, "benchmark")))
-    return docs.where(~holds(F.col("text")))
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
