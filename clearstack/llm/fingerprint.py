@@ -17,11 +17,12 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearstack.llm import words
-from clearstack.llm.common import BATCH_ROWS, arrow_stream, partitions_for
+from clearstack.llm.common import BATCH_ROWS, arrow_stream, partitions_for, prepare
 
 SAMPLES = 128
 #: Tables of 2^17 words for weight 1 and of 2^15 words for other weights: 67 MB and 50 MB a worker.
@@ -100,37 +101,62 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
     return float((one == other).mean())
 
 
+#: Rows in order: ids that are not null first, then by id, and rows of one id by a hash of their texts.
+_ORDER = ("none", "key", "turn")
+
+
+class _Cuts:
+    """The first rows of the ranges that rows are dealt to: three numbers for each range, in order."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]) -> None:
+        rows = sorted(rows)
+        self.nulls = sum(r[0] == 0 for r in rows)  # from here on come the rows with null ids
+        self.keys = np.array([r[1] for r in rows], np.int64)
+        self.turns = np.array([r[2] for r in rows], np.int64)
+
+    def places(self, none: np.ndarray, key: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and whether it begins that range."""
+        n, at = len(self.keys), self.nulls
+        end = np.where(none == 1, at + np.searchsorted(self.turns[at:], turn, "right"), np.searchsorted(self.keys[:at], key, "right"))
+        begin = np.searchsorted(self.keys[:at], key, "left")
+        # Of an id that begins ranges, its rows are told apart by their hashes; there is one such cut, or the id repeats.
+        for k in np.flatnonzero((none == 0) & (begin < end)):
+            end[k] = begin[k] + np.searchsorted(self.turns[begin[k] : end[k]], turn[k], "right")
+        place = np.clip(end - 1, 0, n - 1)
+        first = (none == (place >= at)) & (self.keys[place] == key) & (self.turns[place] == turn)
+        return place, first
+
+
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """bucket, copy, key, doc_id, text: in each bucket, by copy, key and text, every row but the copy stands before the next document.
+    """copy, doc_id, text: in each partition, in order, every row but a copy stands before the next document.
 
-    Buckets are ranges of doc_id at approximate quantiles. The first document of a bucket is also copied to the end
-    of the bucket before (that of the first one to the last): one copy a bucket, so all texts are shuffled once.
+    A pass over ids alone finds ranges of about PARTITION_ROWS rows, and the driver gets the first row of each as three
+    numbers. Rows go to the partition of their range, so all texts are shuffled once; the first row of a range is copied
+    to the end of the range before (that of the first range to the last). Rows with null ids are dealt by their texts.
     """
     spark = docs.sparkSession
-    last = (1 << 63) - 1
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("key"))
-    n = docs.count()
-    parts = partitions_for(spark, n, PARTITION_ROWS)
-    cuts = docs.agg(F.percentile_approx("key", [i / (4 * parts) for i in range(1, 4 * parts)], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    wide = max(1, round(len(cuts) ** 0.5))
-    fine = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-
-    def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda c: c <= F.col("key")))
-
-    bucket = F.lit(0)
-    if cuts:
-        coarse = below(F.array([F.lit(x[0]) for x in fine]))
-        lists = F.array([F.array([F.lit(c) for c in x]) for x in fine])
-        bucket = F.when(F.col("key") < cuts[0], 0).otherwise((coarse - 1) * wide + below(F.element_at(lists, coarse)))
-    heads = [tuple(r) for r in docs.select("key", bucket.cast("int").alias("bucket")).groupBy("bucket").agg(F.min("key")).orderBy("bucket").collect()]
-    copies = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}
-    small = spark.createDataFrame([(k, b) for k, b in copies.items()], "head long, before int")
-    rows = docs.withColumn("bucket", bucket.cast("int")).join(F.broadcast(small), F.col("key") == F.col("head"), "left")
-    place = F.filter(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("copy")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("copy"))), lambda p: p["bucket"].isNotNull())
-    rows = rows.select("key", "doc_id", "text", F.explode(place).alias("p")).select("p.bucket", "p.copy", "key", "doc_id", "text")
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "copy", "key", "text")
+    prepare(spark)
+    id_, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    docs = docs.select(F.when(id_.isNull(), 1).otherwise(0).alias("none"), F.coalesce(id_, F.lit(0).cast("long")).alias("key"), F.xxhash64(text).alias("turn"), id_.alias("doc_id"), text.alias("text"))
+    parts = partitions_for(spark, docs.count(), PARTITION_ROWS)
+    ranges = docs.select(*_ORDER).repartitionByRange(parts, *_ORDER)
+    heads = ranges.groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct(*_ORDER)).alias("head")).select("head.*").collect()
+    if not heads:
+        return docs.select(F.lit(0).alias("copy"), "doc_id", "text")
+    cuts, last = spark.sparkContext.broadcast(_Cuts([tuple(r) for r in heads])), len(heads) - 1
+
+    @F.pandas_udf("place int, before int")
+    def dealt(none: pd.Series, key: pd.Series, turn: pd.Series) -> pd.DataFrame:
+        place, first = cuts.value.places(none.to_numpy(), key.to_numpy(), turn.to_numpy())
+        before = np.where(place > 0, place - 1, last)
+        return pd.DataFrame({"place": place.astype(np.int32), "before": pd.Series(before).where(first).astype("Int32")})
+
+    rows = docs.withColumn("d", dealt(*_ORDER))
+    own = F.struct(F.col("d.place").alias("place"), F.lit(0).alias("copy"))
+    copy = F.struct(F.col("d.before").alias("place"), F.lit(1).alias("copy"))
+    places = F.when(F.col("d.before").isNull(), F.array(own)).otherwise(F.array(own, copy))
+    rows = rows.select(*_ORDER, "doc_id", "text", F.explode(places).alias("p")).select("p.place", "p.copy", *_ORDER, "doc_id", "text")
+    return rows.repartitionById(last + 1, "place").sortWithinPartitions("copy", *_ORDER, "text").select("copy", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -142,18 +168,18 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text) its fingerprint, that of its edited text, and likenesses.
 
-    The next document is the one that follows by doc_id (rows that repeat an id: by text; null ids last); after the
+    The next document is the one that follows by doc_id (rows that repeat an id, and those with null ids, which come last: by a hash of the text); after the
     last comes the first, and a single document is its own next. Null texts count as empty; two texts without words
     are alike by 1, one without words and one with by 0. An empty table gives no rows.
     """
 
     def answer(rows: list[tuple]) -> dict[str, list]:
-        """rows: (bucket, copy, doc_id, text); all but the last are answered, unless they are copies or end a bucket."""
-        kept = [k for k in range(len(rows) - 1) if rows[k][0] == rows[k + 1][0] and not rows[k][1]]
-        own = signatures([r[3] for r in rows])
-        texts = [edited(rows[k][3], rows[k + 1][3]) for k in kept]
+        """rows: (copy, doc_id, text) of one range; all but copies are answered, if another follows."""
+        kept = [k for k in range(len(rows) - 1) if not rows[k][0]]
+        own = signatures([r[2] for r in rows])
+        texts = [edited(rows[k][2], rows[k + 1][2]) for k in kept]
         other = signatures(texts)
-        out: dict[str, list] = {"doc_id": [rows[k][2] for k in kept], "n_chars": [len(rows[k][3]) for k in kept]}
+        out: dict[str, list] = {"doc_id": [rows[k][1] for k in kept], "n_chars": [len(rows[k][2]) for k in kept]}
         out["edited_sha256"] = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in texts]
         out["fingerprint"] = [own[k].astype(">u2").tobytes().hex() for k in kept]
         out["edited_fingerprint"] = [e.astype(">u2").tobytes().hex() for e in other]
@@ -164,10 +190,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         rows: list[tuple] = []
         for b in batches:
-            rows += zip(b["bucket"], b["copy"], b["doc_id"], b["text"], strict=True)
+            rows += zip(b["copy"], b["doc_id"], b["text"], strict=True)
             if len(rows) > BATCH_ROWS // 2:
                 yield answer(rows)
                 rows = rows[-1:]
         yield answer(rows)
 
-    return arrow_stream(_neighbours(docs).select("bucket", "copy", "doc_id", "text"), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_stream(_neighbours(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -169,6 +169,54 @@ def test_fingerprints(spark, odd, none):
     assert fingerprint.fingerprints(odd.where("doc_id = 3")).first().near_next == 1.0
 
 
+def test_fingerprints_of_neighbours_across_ranges(spark, monkeypatch):
+    """Every likeness is that of two samples, with few rows a range, repeated ids, null ids and a group of equal rows."""
+    monkeypatch.setattr(fingerprint, "PARTITION_ROWS", 7)
+    texts = [f"w{k % 5} w{k % 7} common words here w{k}" for k in range(60)]
+    rows = [(k * 3 % 61, t) for k, t in enumerate(texts)] + [(5, f"again {k}") for k in range(20)] + [(None, f"no id {k % 3}") for k in range(12)] + [(9, "equal rows")] * 15 + [(70, None)]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    own = {t: fingerprint.signatures([t])[0] for t in {t or "" for _, t in rows}}
+    turn = {r.t: r.h for r in spark.createDataFrame([(t,) for t in own], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, turn[r[1] or ""]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        e = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        changed = fingerprint.signatures([e])[0]
+        want[(i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.likeness(own[t], changed), fingerprint.likeness(own[t], own[following]))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got) == want
+
+
+def naive_signature(bag):
+    """Consistent weighted sampling, a term and a sample at a time."""
+    out = []
+    for s in range(fingerprint.SAMPLES):
+        least = None
+        for term, weight in bag.items():
+            r, b, lnc = (np.float32(x) for x in fingerprint._draws(np.array([term], np.uint64))[0, :, s])
+            t = np.floor(np.log(np.float64(weight)).astype(np.float32) / r + b)
+            value = lnc - r * (t - b + 1)
+            least = value if least is None or value < least else least
+        out.append(least)
+    return np.array(out)
+
+
+def test_fingerprints_by_force():
+    """Samples agree with naive ones, so likenesses do."""
+    bags = [Counter(t.split()) for t in ("a a a b c d", "a b b c e", "x y z", "a a a b c d")]
+    naive, fast = [], []
+    for bag in bags:
+        terms = {int(next(words.texts_word_hashes([w]))[0]): n for w, n in bag.items()}
+        order = np.array(sorted(terms), np.uint64)
+        naive.append(naive_signature(terms))
+        fast.append(fingerprint.weights_signature(order, np.array([terms[int(h)] for h in order])))
+    for i in range(4):
+        for j in range(4):
+            assert fingerprint.likeness(fast[i], fast[j]) == (naive[i] == naive[j]).mean()
+    assert fingerprint.likeness(fast[0], fast[3]) == 1.0 and 0 < fingerprint.likeness(fast[0], fast[1]) < 1
+
+
 def test_fingerprints_of_long_texts_without_a_common_word():
     """40,000 distinct words each; a table of draws smaller than that gives the same samples as none before."""
     texts = [" ".join(f"{c}{k}" for k in range(40_000)) + f" {c}0" * 3 for c in "ab"]
