@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearstack.llm.common import arrow_map, arrow_stream, least_hashed, materialize
+from clearstack.llm.common import arrow_stream, least_hashed, materialize
 
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -37,7 +37,9 @@ LEAST_REVISIT = 100
 BROADCAST_GROUPS = 100_000
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 DATE = "2024-01-01T00:00:00Z"
-_ID = "<urn:x-page:{}>"
+_ID = "<urn:x-page:{}:{}>"
+#: Records, and bytes of payload, in one batch of what is read.
+READ_ROWS, READ_BYTES = 1000, 1 << 25
 
 
 class WarcError(ValueError):
@@ -173,14 +175,16 @@ def read_archive(archive: bytes) -> Iterator[Record]:
         yield parse_record(data, offset)
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, serial: str = "") -> bytes:
+    """A record, whose id ends in its serial; that of a response which others revisit in the digest, which they know too."""
+    named = digest[:32] if page_id is not None and page_id == refers_to else serial
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _ID.format("" if page_id is None else page_id)), ("WARC-Date", DATE)]
+    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _ID.format("" if page_id is None else page_id, named)), ("WARC-Date", DATE)]
     if url:
         headers.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     headers += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response")]
     if revisit:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _ID.format(refers_to))]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _ID.format(refers_to, digest[:32]))]
     return record_bytes(headers, http if revisit else http + payload)
 
 
@@ -188,8 +192,9 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """archive, content: Zstandard archives of pages (page_id, url, html), a record for each row.
 
     A null html is empty. Of rows with equal payloads of at least `least` bytes the smallest page_id is a response and
-    the others revisit it; rows that repeat that page_id are responses too. Rows with a null page_id are responses. The html is
-    shuffled only where the groups of equal payloads are too many to broadcast.
+    the others revisit it; rows that repeat that page_id are responses too, of the same record id. All other record ids are
+    unique, whatever page_ids repeat. Rows with a null page_id are responses. The html is shuffled only where the groups of
+    equal payloads are too many to broadcast.
     """
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit("")).alias("html")
@@ -203,12 +208,13 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     joined = rows.join(F.broadcast(groups) if few else groups, "digest", "left")
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, serial = TaskContext.get().partitionId(), 0, 0
         writer = ArchiveWriter(dictionary)
         for b in batches:
             for i, url, text, digest, first in zip(b["page_id"], b["url"], b["html"], b["digest"], b["first"], strict=True):
                 revisit = first is not None and i is not None and first != i
-                writer.add(page_record(i, url, text.encode("utf-8", "replace"), digest, first, revisit))
+                writer.add(page_record(i, url, text.encode("utf-8", "replace"), digest, first, revisit, f"{part}-{serial}"))
+                serial += 1
                 if writer.size >= ARCHIVE_BYTES:
                     yield {"archive": [f"{part:05d}-{number:05d}.warc.zst"], "content": [writer.take()]}
                     number += 1
@@ -221,29 +227,35 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """A row for each record of archives (archive, content); a damaged archive is an error that names the place.
 
-    payload is null unless payloads is asked for, and for revisits. Null contents hold no records.
+    payload is null unless payloads is asked for, and for revisits. Null contents hold no records. A task decodes a record
+    at a time and holds READ_ROWS answers, or READ_BYTES of payloads.
     """
+    columns = ("archive", "record_offset", "record_id", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
 
-    def run(b: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("archive", "record_offset", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")}
-        for name, content in zip(b["archive"], b["content"], strict=True):
-            for r in read_archive(content or b""):
-                h = r.headers
-                kind = h["WARC-Type"]
-                out["archive"].append(name)
-                out["record_offset"].append(r.offset)
-                out["page_id"].append(_page_of(h["WARC-Record-ID"]))
-                out["url"].append(h.get("WARC-Target-URI"))
-                out["payload_bytes"].append(len(r.payload) if kind == "response" else int(h.get("X-Payload-Length", 0)))
-                out["payload_digest"].append(h.get("WARC-Payload-Digest", "").removeprefix("sha256:"))
-                out["record_type"].append(kind)
-                out["refers_to"].append(_page_of(h.get("WARC-Refers-To", "")))
-                out["payload"].append(r.payload if payloads and kind == "response" else None)
-        return out
+    def answer(name: str, r: Record) -> tuple:
+        h = r.headers
+        kind = h["WARC-Type"]
+        size = len(r.payload) if kind == "response" else int(h.get("X-Payload-Length", 0))
+        digest = h.get("WARC-Payload-Digest", "").removeprefix("sha256:")
+        payload = r.payload if payloads and kind == "response" else None
+        return name, r.offset, h["WARC-Record-ID"], _page_of(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), size, digest, kind, _page_of(h.get("WARC-Refers-To", "")), payload
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        rows, held = [], 0
+        for b in batches:
+            for name, content in zip(b["archive"], b["content"], strict=True):
+                for r in read_archive(content or b""):
+                    rows.append(answer(name, r))
+                    held += len(rows[-1][-1] or b"")
+                    if len(rows) >= READ_ROWS or held >= READ_BYTES:
+                        yield dict(zip(columns, map(list, zip(*rows, strict=True)), strict=True))
+                        rows, held = [], 0
+        if rows:
+            yield dict(zip(columns, map(list, zip(*rows, strict=True)), strict=True))
 
-    return arrow_map(archives.select("archive", "content"), run, "archive string, record_offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return arrow_stream(archives.select("archive", "content"), run, "archive string, record_offset long, record_id string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def _page_of(name: str) -> int | None:
-    m = re.fullmatch(r"<urn:x-page:(-?\d+)>", name)
+    m = re.fullmatch(r"<urn:x-page:(-?\d+):[0-9a-f-]*>", name)
     return int(m[1]) if m else None
