@@ -100,18 +100,20 @@ def vector(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Weights learned from docs (doc_id, text) with labels (doc_id, quality), only rows that held_out() leaves.
 
-    Rows are taken, and seen, in the order of a hash of doc_id; at most sample_rows. Null labels and texts are left
-    out; of an id that is labelled repeatedly each pair counts. Without rows all weights are 0 and every score 0.5.
+    Labels are taken, and rows seen, in the order of a hash of doc_id; at most sample_rows of each, also where ids repeat.
+    Null labels and texts are left out; of an id that is labelled repeatedly each pair counts. Without rows all weights
+    are 0 and every score 0.5.
     """
     few = labels.where("quality is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     few = least_hashed(few, "doc_id", sample_rows, "quality").withColumn("turn", F.xxhash64("doc_id"))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("turn", "doc_id", "text", "quality")
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id").select("turn", "doc_id", "text", "quality", F.xxhash64("doc_id", "text").alias("pick"))
+    rows = least_hashed(rows, "pick", sample_rows, "doc_id", "quality")
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         seen = []
         for b in batches:
             seen += [(t, i, q, *vector(f)) for t, i, q, f in zip(b["turn"], b["doc_id"], b["quality"], features(b["text"]), strict=True)]
-        seen.sort(key=lambda r: r[:3])
+        seen.sort(key=lambda r: (*r[:3], r[3].tobytes()))
         model = Ftrl()
         for _ in range(EPOCHS):
             for _, _, q, at, x in seen:
@@ -141,7 +143,12 @@ def quality_score(weights: np.ndarray, text: Column | str) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = REJECT_UNDER) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of docs; other columns are not read, an empty table gives no rows."""
+    """doc_id, held_out, score and predicted of each row of docs (doc_id, text).
+
+    Null and empty texts score by the bias alone; a null doc_id stays null, and is not held out. Rows that repeat an id
+    are each scored by their own text, equal texts equally; a score at the threshold is predicted 1. Other columns are not
+    read, an empty table gives no rows, and without labels every score is 0.5.
+    """
     prepare(docs.sparkSession)
     weights = train(docs, labels)
 
