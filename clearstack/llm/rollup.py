@@ -72,7 +72,9 @@ class TokenRollup:
         return sums[-1:] + [n for n in names if n.startswith("batch=") and int(n.split("=")[1]) not in held]
 
     def _held(self, name: str) -> set[int]:
-        return {r[0] for r in self.spark.read.schema("id long").parquet(f"{self.store}/{name}/ids").collect()}
+        """Ids in a sum, which keeps them as runs: one row while ids are given in order."""
+        runs = self.spark.read.schema("first long, last long").parquet(f"{self.store}/{name}/ids").collect()
+        return {i for first, last in runs for i in range(first, last + 1)}
 
     def committed(self) -> set[int]:
         """Ids of all committed batches."""
@@ -107,19 +109,35 @@ class TokenRollup:
         return rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Replace the batches in force by their sum; it takes effect by one rename, and repeating it is harmless."""
-        ids = sorted(self.committed())
+        """Replace the batches in force by their sum; it takes effect by one rename, and repeating it is harmless.
+
+        Folders that the sum before had replaced go then; those that this one replaces stay for readers until the next.
+        """
+        ids, used = sorted(self.committed()), set(self._batches())
+        runs: list[list[int]] = []
+        for i in ids:
+            if runs and runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
         names = [n for n in self._folders() if n.startswith("sum=")]
         number = max((int(n.split("=")[1]) for n in names), default=-1) + 1
         draft = f"{self.store}/_draft-{uuid.uuid4().hex}"
         self.totals().write.parquet(f"{draft}/data")
-        self.spark.createDataFrame([(int(i),) for i in ids], "id long").coalesce(1).write.parquet(f"{draft}/ids")
+        self.spark.createDataFrame([tuple(r) for r in runs], "first long, last long").coalesce(1).write.parquet(f"{draft}/ids")
+        stale = [n for n in self._folders() if n.startswith(("batch=", "sum=")) and n not in used]
         fs, p = self._fs(draft)
         fs.rename(p, self._fs(f"{self.store}/sum={number}")[1])
+        for n in stale:
+            fs.delete(self._fs(f"{self.store}/{n}")[1], True)
 
 
 def live_totals(docs: DataFrame, store: str, tokenizer: str, version: str) -> DataFrame:
-    """A corpus history as four commits, and the totals after it.
+    """A corpus history as four commits, and the totals after it, by source, lang and tokenizer.
+
+    Null texts count as empty, which is the end id alone; null sources, languages and ids are values like others (of equal
+    texts one with a null id is kept only if all have none). Rows that repeat an id are documents of their own. An empty
+    table gives no rows. Of equal texts whose least ids are equal too, the least source and language are kept, nulls first.
 
     Batch 0 inserts all documents; batch 1 revises every count by the end id that follows a document; batch 2 deletes
     exact copies, all but the smallest doc_id of equal texts; batch 1 then comes again and is left out.
@@ -133,7 +151,7 @@ def live_totals(docs: DataFrame, store: str, tokenizer: str, version: str) -> Da
     rollup.commit(1, revisions(revised, version, "new_tokens"))
     # Of each text, everything but one document goes: its whole sum by group less the first document's.
     by_text = revised.groupBy("text_key", "source", "lang", "new_tokens").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
-    first = by_text.groupBy("text_key").agg(F.min_by(F.struct("source", "lang"), F.struct(F.col("low").isNull(), "low")).alias("keep"), F.max("new_tokens").alias("new_tokens"))
+    first = by_text.groupBy("text_key").agg(F.min_by(F.struct("source", "lang"), F.struct(F.col("low").isNull(), "low", "source", "lang")).alias("keep"), F.max("new_tokens").alias("new_tokens"))
     gone = by_text.select("source", "lang", (-F.col("n")).alias("documents"), (-F.col("n") * F.col("new_tokens")).alias("tokens"))
     back = first.select("keep.source", "keep.lang", F.lit(1).cast("long").alias("documents"), F.col("new_tokens").alias("tokens"))
     rollup.commit(2, gone.union(back).withColumn("tokenizer", F.lit(version)).select(*GROUP, "documents", "tokens"))
