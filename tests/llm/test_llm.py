@@ -247,18 +247,27 @@ def test_packing(spark, odd, none):
 def test_rollup(spark, tmp_path, odd):
     docs = table(spark, "documents").select("doc_id", "text", "lang", "source").union(odd.select("doc_id", "text", "lang", "source"))
     total = rollup.live_totals(docs, f"{tmp_path}/r", TOKENIZER, "v").toPandas()
-    seen, expected = set(), Counter()
+    seen, expected, by = set(), Counter(), {}
     e = bpe.encoder(TOKENIZER)
-    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id)):
+    name = lambda v: (v is not None, v or "")
+    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id, name(r.source), name(r.lang))):
         if (r.text or "") not in seen:
             seen.add(r.text or "")
             expected["documents"] += 1
             expected["tokens"] += len(e.encode([r.text])[0]) + 1
+            own = by.setdefault((r.source, r.lang), [0, 0])
+            own[0], own[1] = own[0] + 1, own[1] + len(e.encode([r.text])[0]) + 1
     assert total.documents.sum() == expected["documents"] and total.tokens.sum() == expected["tokens"]
+    groups = lambda d: {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in d.collect()}
+    assert groups(rollup.TokenRollup(spark, f"{tmp_path}/r").totals()) == {(*k, "v"): tuple(v) for k, v in by.items()}
     r = rollup.TokenRollup(spark, f"{tmp_path}/r")
     r.compact()
     assert not r.commit(2, spark.createDataFrame([], rollup.DELTA)) and sorted(map(str, r.totals().collect())) == sorted(map(str, rollup.TokenRollup(spark, f"{tmp_path}/r").totals().collect()))
     assert r.totals().agg(F.sum("tokens")).first()[0] == expected["tokens"]
+    assert r.commit(7, rollup.inserts(spark.createDataFrame([("s", "l", 5)], "source string, lang string, tokens long"), "v"))
+    r.compact()
+    assert not any(n.startswith("batch=") and n != "batch=7" for n in r._folders()) and r.committed() == {0, 1, 2, 7}
+    assert r.totals().agg(F.sum("tokens")).first()[0] == expected["tokens"] + 5 and not r.commit(0, spark.createDataFrame([], rollup.DELTA))
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -434,6 +443,93 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_joins_many_groups(spark, monkeypatch):
+    """Groups of equal payloads joined by shuffle, one of many copies, give what a broadcast gives; record ids are unique."""
+    rows = [(i, f"u{i}", "<p>" + ("same " * 40 if i % 3 else f"own {i} " * 40)) for i in range(120)] + [(5, "v", "<p>" + "another page 5 " * 20), (None, "n", "<p>" + "same " * 40), (None, "n", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = lambda: sorted(map(str, warc.read_archives(warc.write_archives(pages)).select("page_id", "url", "payload_digest", "record_type", "refers_to").collect()))
+    want = read()
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    assert read() == want and sum("refers_to=1" in r for r in want) == 79
+    monkeypatch.setattr(warc, "READ_ROWS", 7)
+    got = warc.read_archives(warc.write_archives(pages), payloads=True).collect()
+    assert len({r.record_id for r in got}) == len(rows) and sorted(r.payload for r in got if r.record_type == "response")[0] == b"<p>another page 5 " + b"another page 5 " * 19
+
+
+def test_packing_by_force():
+    """Descending pieces, each to the cheapest sequence with room, as a plain loop over all sequences gives them."""
+    rng = np.random.default_rng(9)
+    for size, sizes in ((16, rng.integers(0, 40, 60)), (64, rng.integers(1, 64, 80)), (16, [16, 16, 0, 5]), (16, []), (16, [3] * 33)):
+        want, rest, n = [], [], 0
+        for d, total in enumerate(sizes):
+            for start in range(0, total - size + 1, size):
+                want.append((d, start, size, n, 0))
+                n += 1
+            if total % size:
+                rest.append((total % size, d, total - total % size))
+        full, short = divmod(sum(r[0] for r in rest), size)
+        room = [size] * full + [1 << b for b in reversed(range(10)) if short >> b & 1]
+        costs, used = [0.0] * len(room), [0] * len(room)
+        for length, d, start in sorted(rest, key=lambda x: (-x[0], x[1])):
+            while length:
+                fits = [s for s in range(len(room)) if room[s] - used[s] >= length] or [s for s in range(len(room)) if room[s] > used[s]]
+                s = min(fits, key=lambda s: (costs[s], s))
+                part = min(length, room[s] - used[s])
+                want.append((d, start, part, n + s, used[s]))
+                used[s], costs[s] = used[s] + part, costs[s] + part + part * part / 1024
+                start, length = start + part, length - part
+        got, count = packing.pack([int(x) for x in sizes], size)
+        assert got == [tuple(map(int, w)) for w in want] and count == n + len(room)
+
+
+def test_quality_by_force(spark):
+    """Weights and scores equal those of a plain FTRL, a feature at a time, over the rows in the order of their hashes."""
+    import math
+    import zlib
+
+    rows = [(i, f"good text number {i} here, fine." if i % 3 else f"BAD!!! spam {i} $$$ bad", int(i % 3 > 0)) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(50, None), (51, ""), (3, rows[3][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(50, 1), (None, 1), (2, None)], "doc_id long, quality int")
+    turn = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    learned = sorted(((turn[i], i, q, t) for i, t, q in [*rows, rows[3]] if zlib.crc32(str(i).encode()) % 5), key=lambda r: r[:3])
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= quality.L1 else -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    def values(text):
+        index = next(quality.features([text])).tolist()
+        return {**{k: quality.SCALE * c / len(index) for k, c in Counter(index).items()}, quality.DIMENSIONS: 1.0}
+
+    for _ in range(quality.EPOCHS):
+        for _, _, q, t in learned:
+            x = values(t)
+            now = {k: weight(k) for k in x}
+            error = 1 / (1 + math.exp(-sum(now[k] * v for k, v in x.items()))) - q
+            for k, v in x.items():
+                g = error * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * now[k]
+                n[k] += g * g
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    for i, t, _ in rows:
+        score = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in values(t).items())))
+        assert abs(got[i] - score) < 1e-5
+    assert abs(got[50] - 1 / (1 + math.exp(-weight(quality.DIMENSIONS)))) < 1e-5 and got[50] == got[51]
+    tokens = "Ab, ab!! 12"  # five tokens: Ab , ab !! 12
+    assert len(next(quality.features([tokens]))) == 5 + 4 + 4 + 3 and set(next(quality.features(["Ab"]))) != set(next(quality.features(["ab"])))
+
+
+def test_quality_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    """A labelled id on many rows gives no more than the bound to the task that learns."""
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    stream = quality.arrow_stream
+    monkeypatch.setattr(quality, "arrow_stream", lambda df, *a: seen.append(df.count()) or stream(df, *a))
+    quality.train(docs, labels, 20)
+    assert 0 < seen[0] <= 20
+
+
 def test_warc_checks():
     samples = [(f"<html>{i} " + "some common words here and there " * 20).encode() for i in range(200)]
     w = warc.ArchiveWriter(warc.train_dictionary(samples))

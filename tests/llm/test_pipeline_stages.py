@@ -42,6 +42,28 @@ def test_near_dedup_keeps_texts_of_repeated_ids(spark):
     assert after.columns == docs.columns and sorted(r.kept for r in after.collect()) == ["e", "n", "x", "z"]
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids, clashing column names, and an empty table go through every stage."""
+    long = "word " * 30_000
+    rows = [(None, "text without an id " * 10), (1, None), (1, None), (2, ""), (3, long), (4, long), (5, "mail a.b@c.org now"), (5, "mail a.b@c.org now"), (5, "quite another text of that id"), (6, " \n\t"), (7, "\x00 odd \u2028 marks \U0001f600")]
+    rows = [(i, t, "en" if k % 2 else None, None, len(t) if t else None, 1, True, k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, kept boolean, text_key long")
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, DATA)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        got = out.collect()
+        if name == "packing":
+            assert Counter(r.doc_id for r in got if r.start == 0) == Counter(r[0] for r in rows)
+            continue
+        assert out.columns == docs.columns and {r.text_key for r in got} <= set(range(len(rows)))
+        if name == "near_dedup":
+            assert sorted(r.text_key for r in got) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
+        elif name == "pii":
+            assert [r.text for r in sorted(got, key=lambda r: r.text_key)] == [t.replace("a.b@c.org", "<EMAIL>") if t else t for _, t, *_ in rows]
+        elif name == "decontamination":
+            assert len(got) == len(rows)
+
+
 def test_decontamination_keeps_what_holds_no_item(spark, stages):
     before, after = stages["decontamination"]
     items = [words.plain_shingles(r.text) for r in table(spark, "benchmark").collect()]
