@@ -1,6 +1,9 @@
 """A training corpus from documents: quality, near duplicates, benchmark passages, personal data, packing.
 
-run() writes each stage's rows as Parquet in the shared folder and the next stage reads them.
+run() writes each stage's rows as Parquet in the shared folder and the next stage reads them. All stages but the last
+give rows of docs with all its columns, whatever their names; columns but doc_id and text (and n_chars, which follows a
+redacted text) are carried, not read. Rows that repeat an id or all of a row are rows of their own, but for near
+duplicates; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from clearstack.llm.queries import tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score reaches the threshold; null and empty texts get the bias as their score."""
+    """The documents whose score reaches the threshold, ties included; null and empty texts get the bias as their score."""
     prepare(spark)
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.quality_score(weights, F.col("text")) >= quality.REJECT_UNDER)
@@ -35,12 +38,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item; null, empty and wordless texts hold none."""
     return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind; n_chars follows the new text."""
+    """All documents, personal data in their texts replaced by its kind; n_chars follows the new text, null texts stay null."""
     model = pii.train_on(docs)
     clean = docs.withColumn("text", pii.redacted(model, F.col("text")))
     if "n_chars" in docs.columns:
@@ -49,7 +52,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
+    """Pieces of all documents in sequences; a null or empty text is one piece, its end id."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -61,7 +64,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't express a learned score, MinHash with a learned step between, or token ids; tests check the stages by brute force.
+#: SQL can't express a learned score, MinHash with a learned step between, or token ids; tests/llm/test_pipeline_stages.py checks each stage by brute force.
 ORACLE_SQL = None
 
 
