@@ -30,21 +30,51 @@ ONE_BITS, MORE_BITS = 17, 15
 #: Rows of one partition in the pass that sees neighbours; about 65 MB of text at the usual 3 KB a document.
 PARTITION_ROWS = 20_000
 _BLOCK = 512
-_KEYS = words.mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64)).reshape(2, SAMPLES)
+_KEYS = words.mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64)).reshape(2, SAMPLES) | np.uint64(1)
+
+
+def _halves(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit values by word and sample: the hash times the sample's odd key, mixed."""
+    x = hashes[:, None] * keys
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(29)
+    return x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """23-bit numbers as the middles of as many steps of the unit interval, never 0 or 1; in 32-bit numbers."""
+    v = v << np.uint32(1)
+    v |= np.uint32(1)
+    out = v.view(np.int32).astype(np.float32)
+    out *= np.float32(2**-24)
+    return out
+
+
+def _gamma_log(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) from two uniforms: less the logarithm of their product."""
+    out = _unit(one >> np.uint32(9))
+    out *= _unit(other >> np.uint32(9))
+    np.log(out, out=out)
+    return np.negative(out, out=out)
+
+
+def _parts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, b and ln c of words by word and sample: five 23-bit uniforms out of four 32-bit values."""
+    (x, y), (v, w) = (_halves(hashes, k) for k in _KEYS)
+    low = np.uint32(511)
+    b = _unit((x & low) << np.uint32(14) | (y & low) << np.uint32(5) | v & np.uint32(31))
+    c = _gamma_log(v, w)
+    return _gamma_log(x, y), b, np.log(c, out=c)
 
 
 def _draws(hashes: np.ndarray) -> np.ndarray:
-    """r, b and ln c of words by word and sample: five 24-bit uniforms from two 64-bit values."""
-    x, y = (words.mix(hashes[:, None] + k) for k in _KEYS)
-    low = np.uint64(0xFFFFFF)
-    u = [x >> np.uint64(40), (x >> np.uint64(16)) & low, y >> np.uint64(40), (y >> np.uint64(16)) & low, ((x & np.uint64(0xFFFF)) << np.uint64(8)) | (y & np.uint64(0xFF))]
-    u = [(v.astype(np.float64) + 0.5) / (1 << 24) for v in u]
-    return np.stack([-np.log(u[0] * u[1]), u[4], np.log(-np.log(u[2] * u[3]))], axis=1).astype(np.float32)
+    return np.stack(_parts(hashes), axis=1)
 
 
 def _at_one(hashes: np.ndarray) -> np.ndarray:
     """The values of words at weight 1, by word and sample."""
-    r, b, lnc = _draws(hashes).swapaxes(0, 1)
+    r, b, lnc = _parts(hashes)
     return lnc - r * (1 - b)
 
 
