@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clearstack.operators.neighborhood import nearest_marks
 from clearstack.session import discard, written
 
 
@@ -71,16 +72,7 @@ def holes_filled(mask: DataFrame, pixels: DataFrame, width: int, least: int = 64
 def expanded(labelled: DataFrame, pixels: DataFrame, scale: float = 0.30, low: int = 3, high: int = 25) -> DataFrame:
     """The mask grown by clip(sqrt(area / pi) * scale, low, high), by the nearest component's radius; ties to the least blob."""
     sized = areas(labelled).select("blob", F.least(F.greatest(F.sqrt(F.col("area") / math.pi) * scale, F.lit(float(low))), F.lit(float(high))).alias("radius"))
-    marks = pixels.select("y", "x").join(labelled, ["y", "x"], "left")
-    w = Window.partitionBy("x").orderBy("y")
-    own = F.when(F.col("blob").isNotNull(), F.struct("y", "blob"))
-    up = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = marks.withColumn("up", up).withColumn("down", down)
-    sides = F.filter(F.array("up", "down"), lambda s: s.isNotNull())
-    near = near.select("y", F.col("x").alias("c"), F.explode(sides).alias("s")).where(F.abs(F.col("s.y") - F.col("y")) <= high)
-    far = near.select("y", "c", "s", F.explode(F.sequence(F.col("c") - high, F.col("c") + high)).alias("x"))
-    d2 = (F.col("s.y") - F.col("y")) * (F.col("s.y") - F.col("y")) + (F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))
-    best = far.where(d2 <= high * high).groupBy("y", "x").agg(F.min(F.struct(d2.alias("d2"), F.col("s.blob").alias("blob"))).alias("m"))
-    grown = best.select("y", "x", "m.d2", "m.blob").join(sized, "blob").where(F.col("d2") <= F.col("radius") * F.col("radius"))
+    marks = pixels.select("y", "x").join(labelled.select("y", "x", F.col("blob").alias("id")), ["y", "x"], "left")
+    best = nearest_marks(marks, high).where(F.col("near").isNotNull())
+    grown = best.select("y", "x", "near.d2", F.col("near.id").alias("blob")).join(sized, "blob").where(F.col("d2") <= F.col("radius") * F.col("radius"))
     return pixels.select("y", "x").join(grown.select("y", "x"), ["y", "x"], "left_semi")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clearstack.operators.neighborhood import box_sums
+from clearstack.operators.neighborhood import box_sums, own_tile, tiles
 
 
 def half_widths(size: int) -> list[int]:
@@ -20,7 +20,9 @@ def dilate(df: DataFrame, size: int) -> DataFrame:
     """Row maxima for each half width by windows, shifted to the rows that they reach and combined by partial aggregation."""
     widths, r = half_widths(size), size // 2
     m = F.col("m").cast("int")
-    rows = df.select("y", "x", *[F.max(m).over(Window.partitionBy("y").orderBy("x").rangeBetween(-w, w)).alias(f"w{w}") for w in sorted(set(widths))])
+    most = max(widths)
+    tiled = df.select("y", "x", "m", tiles("x", most, most).alias("tile"))
+    rows = tiled.select("y", "x", "tile", *[F.max(m).over(Window.partitionBy("y", "tile").orderBy("x").rangeBetween(-w, w)).alias(f"w{w}") for w in sorted(set(widths))]).where(own_tile("x"))
     reach = F.array(*[F.struct((F.col("y") + dy).alias("y"), F.col(f"w{w}").alias("m")) for dy, w in zip(range(-r, r + 1), widths, strict=True)])
     got = rows.select("x", F.explode(reach).alias("p")).where("p.m = 1").groupBy(F.col("p.y").alias("y"), "x").agg(F.lit(1).alias("hit"))
     return df.select("y", "x").join(got, ["y", "x"], "left").select("y", "x", F.col("hit").isNotNull().alias("m"))

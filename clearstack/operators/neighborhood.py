@@ -1,13 +1,31 @@
-"""Neighbourhood operators over pixels (y, x, ...), as separable windows: one shuffle by row, one by column."""
+"""Neighbourhood operators over pixels (y, x, ...), as separable windows: one shuffle by row, one by column.
+
+Windows run within tiles of TILE places of a row or column, whose edges are copied as far as a window reaches: a task
+holds a tile, however long a row is, and windows are bounded, so time grows in proportion to the pixels.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Places of one tile of a row or column.
+TILE = 512
+
+
+def tiles(axis: str, back: int, on: int) -> Column:
+    """A row for each tile whose windows see the pixel: its own, and one that its edge is copied to."""
+    c = F.col(axis)
+    return F.explode(F.sequence(F.floor((c - on) / TILE), F.floor((c + back) / TILE)))
+
+
+def own_tile(axis: str) -> Column:
+    return F.floor(F.col(axis) / TILE) == F.col("tile")
+
+
 def _mirrored(df: DataFrame, axis: str, n: int, reach: int) -> DataFrame:
     """df with reflected copies beyond both edges of an axis of n pixels, the edge pixel repeated."""
     c = F.col(axis)
@@ -21,9 +39,10 @@ def box_sums(df: DataFrame, columns: list[str], size: int, width: int, height: i
     back, on = size // 2, (size - 1) // 2
     out = df.select("y", "x", *columns)
     for axis, other, n in (("x", "y", width), ("y", "x", height)):
-        w = Window.partitionBy(other).orderBy(axis).rangeBetween(-back, on)
-        padded = _mirrored(out, axis, n, back)
-        out = padded.select("y", "x", *[F.sum(c).over(w).alias(c) for c in columns]).where(F.col(axis).between(0, n - 1))
+        w = Window.partitionBy(other, "tile").orderBy(axis).rangeBetween(-back, on)
+        padded = _mirrored(out, axis, n, back).withColumn("tile", tiles(axis, back, on))
+        sums = padded.select("y", "x", "tile", *[F.sum(c).over(w).alias(c) for c in columns])
+        out = sums.where(F.col(axis).between(0, n - 1) & own_tile(axis)).drop("tile")
     return out
 
 
@@ -43,17 +62,30 @@ def local_stats(df: DataFrame, value: str, weight: str, size: int, width: int, h
 def distance_squared(mask: DataFrame, pixels: DataFrame, reach: int) -> DataFrame:
     """y, x and d2, the squared distance of each pixel to the nearest mask pixel (y, x), null beyond reach.
 
-    First the nearest in each column, by windows; then the least over columns within reach, by partial aggregation.
+    First the nearest in each column, then the least over the columns within reach, each by bounded windows.
+    """
+    marked = pixels.select("y", "x").join(mask.select("y", "x", F.lit(0).cast("long").alias("id")), ["y", "x"], "left")
+    return nearest_marks(marked, reach).select("y", "x", F.col("near.d2").alias("d2"))
+
+
+def nearest_marks(marked: DataFrame, reach: int) -> DataFrame:
+    """y, x and near, a struct of d2 and id of the nearest marked pixel (y, x, id; id is null for others), the least id of equally near ones.
+
+    near is null beyond reach. In each column only the nearest mark above and below can be a pixel's nearest.
     """
-    marked = pixels.select("y", "x").join(mask.select("y", "x", F.lit(True).alias("m")), ["y", "x"], "left")
-    w = Window.partitionBy("x").orderBy("y")
-    own = F.when(F.col("m"), F.col("y"))
-    up = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = marked.withColumn("up", F.col("y") - up).withColumn("down", down - F.col("y")).withColumn("g", F.least("up", "down")).where(F.col("g") <= reach)
-    spread = near.select("y", "g", F.col("x").alias("c"), F.explode(F.sequence(F.col("x") - reach, F.col("x") + reach)).alias("x"))
-    d2 = spread.groupBy("y", "x").agg(F.min(F.col("g") * F.col("g") + (F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))).alias("d2")).where(F.col("d2") <= reach * reach)
-    return pixels.select("y", "x").join(d2, ["y", "x"], "left")
+    column = Window.partitionBy("x", "tile").orderBy("y")
+    own = F.when(F.col("id").isNotNull(), F.struct("y", "id"))
+    rows = marked.select("y", "x", "id").withColumn("tile", tiles("y", reach, reach))
+    rows = rows.select("y", "x", "tile", F.max(own).over(column.rangeBetween(-reach, 0)).alias("up"), F.min(own).over(column.rangeBetween(0, reach)).alias("down")).where(own_tile("y"))
+    square = lambda s: F.struct(((s["y"] - F.col("y")) * (s["y"] - F.col("y"))).alias("g"), s["id"].alias("id"))
+    least = F.least(square(F.col("up")), square(F.col("down")))
+    least = F.when(F.col("up").isNull(), F.when(F.col("down").isNotNull(), square(F.col("down")))).when(F.col("down").isNull(), square(F.col("up"))).otherwise(least)
+    rows = rows.select("y", "x", least.alias("s")).withColumn("tile", tiles("x", reach, reach))
+    line = Window.partitionBy("y", "tile").orderBy("x").rangeBetween(-reach, reach)
+    seen = F.collect_list(F.when(F.col("s").isNotNull(), F.struct("x", "s.g", "s.id"))).over(line)
+    rows = rows.select("y", "x", "tile", seen.alias("seen")).where(own_tile("x"))
+    found = F.array_min(F.transform("seen", lambda p: F.struct((p["g"] + (p["x"] - F.col("x")) * (p["x"] - F.col("x"))).alias("d2"), p["id"].alias("id"))))
+    return rows.select("y", "x", found.alias("near")).select("y", "x", F.when(F.col("near.d2") <= reach * reach, F.col("near")).alias("near"))
 
 
 TAPS = (1, 4, 6, 4, 1)
@@ -127,8 +159,9 @@ def gaussian(df: DataFrame, values: list[str], sigma: float, width: int, height:
         beyond = [*range(-r, 0), *range(n, n + r)]
         outside = {p: _folded(p, n) if mirror else min(max(p, 0), n - 1) for p in beyond}
         padded = out.select(other, *values, _places(axis, outside).alias(axis))
-        near = F.collect_list(F.struct(axis, *values)).over(Window.partitionBy(other).orderBy(axis).rangeBetween(-r, r))
-        near = padded.select("y", "x", near.alias("near")).where(F.col(axis).between(0, n - 1))
+        padded = padded.withColumn("tile", tiles(axis, r, r))
+        near = F.collect_list(F.struct(axis, *values)).over(Window.partitionBy(other, "tile").orderBy(axis).rangeBetween(-r, r))
+        near = padded.select("y", "x", "tile", near.alias("near")).where(F.col(axis).between(0, n - 1) & own_tile(axis))
         add = lambda v, axis=axis: F.aggregate("near", F.lit(0.0), lambda a, p: a + p[v] * F.get(weights, (p[axis] - F.col(axis) + r).cast("int")))
         out = near.select("y", "x", *[add(v).alias(v) for v in values])
     return out

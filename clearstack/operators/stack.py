@@ -32,6 +32,27 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, ord
     return run.groupBy(*keys).agg(F.min(reached).alias("median"), (F.max("_all") <= 1000).alias("no_data"))
 
 
+def weighted_medians(df: DataFrame, keys: list[str], bands: dict[str, tuple[Column, Column]], order: str) -> DataFrame:
+    """keys, and of each band (value, whole weight) its median_ and no_data_, as weighted_median(); null values don't count.
+
+    One shuffle of the rows by keys for all bands: a key's layers, which a stack bounds, are sorted in arrays. no_data is
+    null where a band has no value.
+    """
+    layers = [F.collect_list(F.when(v.isNotNull(), F.struct(v.alias("v"), F.col(order).alias("o"), u.alias("u")))).alias(f"layers_{b}") for b, (v, u) in bands.items()]
+    rows = df.groupBy(*keys).agg(*layers)
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumns({f"layers_{b}": F.array_sort(f"layers_{b}") for b in bands}).withColumns({f"all_{b}": F.aggregate(f"layers_{b}", zero, lambda a, e: a + e["u"]) for b in bands})
+
+    def median(b: str) -> Column:
+        """The running weight goes down from the half that is to be reached; the first value at which it gets there stays."""
+        first = F.struct((F.col(f"all_{b}")).alias("left"), F.get(f"layers_{b}", F.lit(0))["v"].alias("v"), F.lit(False).alias("done"))
+        step = lambda a, e: F.struct((a["left"] - 2 * e["u"]).alias("left"), F.when(a["done"], a["v"]).otherwise(e["v"]).alias("v"), (a["done"] | (a["left"] - 2 * e["u"] <= 0)).alias("done"))
+        return F.aggregate(f"layers_{b}", first, step, lambda a: a["v"])
+
+    flag = lambda b: F.when(F.size(f"layers_{b}") > 0, F.col(f"all_{b}") <= 1000)
+    return rows.select(*keys, *[median(b).alias(f"median_{b}") for b in bands], *[flag(b).alias(f"no_data_{b}") for b in bands])
+
+
 def in_units(weight: Column) -> Column:
     return F.round(weight * UNIT).cast("long")
 

@@ -223,11 +223,11 @@ def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = virtual.target(spark, sf_dir)
     cloudy = t.where(pointwise.is_cloud(F.col("scl"))).select("y", "x", F.col("acq").alias("wanted"))
     obs = virtual.observations(spark, sf_dir).join(cloudy, ["y", "x"]).join(_local(spark, sf_dir).select("y", "x", "mean"), ["y", "x"])
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in "rgbn"])
-    rows = obs.withColumn("weight", stack.temporal_weight(stack.days_between("wanted", "acq"))).select("y", "x", "scene", "weight", "clear", "mean", F.explode(bands).alias("e")).select("*", "e.band", "e.v")
-    weight = F.when(F.col("clear"), F.col("weight") * stack.similarity(F.col("v") / 10000.0, F.col("mean") / 10000.0)).otherwise(0.0)
-    medians = stack.weighted_median(rows.withColumn("u", stack.in_units(weight)), ["y", "x", "band"], "v", "u", ["scene"])
-    found = medians.groupBy("y", "x").agg(*[F.max(F.when((F.col("band") == b) & ~F.col("no_data"), F.col("median"))).alias(b) for b in "rgbn"], F.bool_and("no_data").alias("none"))
+    rows = obs.withColumn("weight", stack.temporal_weight(stack.days_between("wanted", "acq")))
+    units = lambda b: stack.in_units(F.when(F.col("clear"), F.col("weight") * stack.similarity(F.col(b) / 10000.0, F.col("mean") / 10000.0)).otherwise(0.0))
+    medians = stack.weighted_medians(rows, ["y", "x"], {b: (F.col(b), units(b)) for b in "rgbn"}, "scene")
+    nothing = F.col("no_data_r") & F.col("no_data_g") & F.col("no_data_b") & F.col("no_data_n")
+    found = medians.select("y", "x", *[F.when(~F.col(f"no_data_{b}"), F.col(f"median_{b}")).alias(b) for b in "rgbn"], nothing.alias("none"))
     out = t.join(found, ["y", "x"], "left")
     m = pointwise.is_cloud(F.col("scl"))
     return out.select("y", "x", *[F.coalesce(b, "dn").alias(b) for b in "rgbn"], (m & F.coalesce("none", F.lit(True))).alias("unresolved"))

@@ -6,7 +6,9 @@ steps read is written once to the shared folder. The only values that reach the
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -119,12 +121,15 @@ def replaced(pixels: DataFrame, observations: DataFrame, bands: list[str], width
     area = float(config.local_color_window**2)
     means = sums.select("y", "x", *[((F.col(b) / area) / F.greatest(F.col("w") / area, F.lit(1e-6))).alias(f"mean_{b}") for b in first])
     wanted = pixels.where("m").select("y", "x").join(means, ["y", "x"])
-    parts = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v"), F.col(f"mean_{b}").alias("mean")) for b in first])
-    rows = observations.join(wanted, ["y", "x"]).select("y", "x", "scene", "weight", F.coalesce("clear", F.lit(True)).alias("clear"), F.explode(parts).alias("e")).select("y", "x", "scene", "weight", "clear", "e.*").where(F.col("v").isNotNull())
-    likeness = stack.similarity(F.col("v") / 10000.0, F.col("mean") / 10000.0, config.spectral_similarity_sigma)
-    weight = F.when(F.col("clear"), F.col("weight") * likeness).otherwise(0.0)
-    medians = stack.weighted_median(rows.withColumn("u", stack.in_units(weight)), ["y", "x", "band"], "v", "u", ["scene"])
-    found = medians.where(~F.col("no_data")).groupBy("y", "x").agg(*[F.max(F.when(F.col("band") == b, F.col("median"))).alias(f"new_{b}") for b in first], F.lit(True).alias("any"))
+    rows = observations.join(wanted, ["y", "x"]).withColumn("clear", F.coalesce("clear", F.lit(True)))
+
+    def units(b: str) -> Column:
+        likeness = stack.similarity(F.col(b).cast("double") / 10000.0, F.col(f"mean_{b}") / 10000.0, config.spectral_similarity_sigma)
+        return stack.in_units(F.when(F.col("clear"), F.col("weight") * likeness).otherwise(0.0))
+
+    medians = stack.weighted_medians(rows, ["y", "x"], {b: (F.col(b).cast("double"), units(b)) for b in first}, "scene")
+    has = {b: ~F.coalesce(f"no_data_{b}", F.lit(True)) for b in first}
+    found = medians.select("y", "x", *[F.when(has[b], F.col(f"median_{b}")).alias(f"new_{b}") for b in first], functools.reduce(operator.or_, has.values(), F.lit(False)).alias("any")).where("any")
     out = pixels.join(found, ["y", "x"], "left")
     if more:
         top = observations.groupBy("scene").agg(F.max("weight").alias("weight")).orderBy(F.desc("weight"), "scene").limit(1).select("scene")
