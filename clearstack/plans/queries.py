@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from clearstack.config import Config
 from clearstack.operators import blending, color, components, features, morphology, neighborhood, plugins, pointwise, poisson, register, stack
 from clearstack.plans import reconstruct
+from clearstack.plans import run as run_plan
 from clearstack.session import shared_path, written
 from clearstack.sources import search, tiff, virtual
 from clearstack.sources.virtual import WIDTH
@@ -67,9 +68,9 @@ def _blob(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return sums.select("y", "x", (F.col("dn") >= 81 * 5300).alias("m")), n
 
 
-@query("SELECT id, cloud_cover, abs(date_diff('microsecond', datetime, TIMESTAMP '2024-01-15')) AS distance_us FROM (SELECT event_id AS id, ts AS datetime, value AS cloud_cover FROM events) WHERE datetime BETWEEN TIMESTAMP '2023-01-15' AND TIMESTAMP '2025-01-14' AND cloud_cover < 20 ORDER BY distance_us, coalesce(cloud_cover, 100), id LIMIT 15")
+@query("SELECT id, cloud_cover, abs(date_diff('microsecond', datetime, TIMESTAMP '2024-01-15')) AS distance_us FROM (SELECT event_id AS id, ts AS datetime, value AS cloud_cover, event_id % 360 - 180 AS lon, user_id % 180 - 90 AS lat FROM events) WHERE datetime BETWEEN TIMESTAMP '2023-01-15' AND TIMESTAMP '2025-01-14' AND cloud_cover < 20 AND lon BETWEEN -10 AND 30 AND lat BETWEEN 20 AND 60 ORDER BY distance_us, coalesce(cloud_cover, 100), id LIMIT 15")
 def scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(virtual.catalog(spark, sf_dir), dt.datetime(2024, 1, 15), (-180.0, -90.0, 180.0, 90.0))
+    return search.search(virtual.catalog(spark, sf_dir), dt.datetime(2024, 1, 15), search.resolve_bbox(None, 40.0, 10.0, 20.0))
 
 
 @query("SELECT event_id AS id, event_id % 360 - 180 AS lon, user_id % 180 - 90 AS lat FROM events WHERE event_id % 360 - 180 BETWEEN 8 AND 12 AND user_id % 180 - 90 BETWEEN 38 AND 42")
@@ -356,8 +357,14 @@ def remove_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.without_small(_labelled(spark, sf_dir)).select("y", "x", "blob")
 
 
-# A recursive query would give each background pixel the numbers of all others; tests flood-fill instead.
-@query()
+def _keyed_labels_sql(name: str, source: str) -> str:
+    """Labels by a recursion that keeps one row a pixel, so a large background takes no more than its pixels."""
+    return f"""{name}(y, x, l) USING KEY (y, x) AS (SELECT y, x, y * 50 + x FROM {source} UNION
+ (SELECT p.y, p.x, min(r.l) FROM {name} r, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dy, dx), {source} p JOIN recurring.{name} own ON own.y = p.y AND own.x = p.x WHERE p.y = r.y + dy AND p.x = r.x + dx AND r.l < own.l GROUP BY p.y, p.x))"""
+
+
+@query(f"""WITH RECURSIVE {_T}, {_BLOB}, src AS MATERIALIZED (SELECT y, x FROM blob WHERE NOT m), {_keyed_labels_sql('bg', 'src')}
+ SELECT y, x FROM blob WHERE m UNION ALL SELECT y, x FROM bg WHERE l IN (SELECT l FROM bg GROUP BY l HAVING count(*) < 64)""")
 def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = written(_blob(spark, sf_dir)[0])
     return components.holes_filled(mask.where("m"), mask, WIDTH)
@@ -517,17 +524,11 @@ def bilinear_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BITS = "d AS (SELECT vec_id AS id, [CASE WHEN v > 0 THEN 1 ELSE 0 END for v in embedding] AS bits FROM embeddings)"
 
 
-@query(f"WITH {_BITS}, p AS (SELECT q.id, t.id AS match, list_sum([abs(q.bits[i] - t.bits[i]) for i in range(1, 65)]) AS distance FROM d q, d t WHERE q.id >= 100 AND t.id < 100), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match) AS n FROM p) SELECT a.id, a.match, CAST(a.distance AS INTEGER) AS distance FROM k a JOIN k b ON a.id = b.id AND a.n = 1 AND b.n = 2 WHERE a.distance < 0.75 * b.distance")
+@query(f"WITH {_BITS}, p AS (SELECT q.id, t.id AS match, list_sum([abs(q.bits[i] - t.bits[i]) for i in range(1, 65)]) AS distance FROM d q, d t WHERE q.id <> t.id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match) AS n FROM p) SELECT a.id, a.match, CAST(a.distance AS BIGINT) AS distance FROM k a JOIN k b ON a.id = b.id AND a.n = 1 AND b.n = 2 WHERE a.distance < 0.95 * b.distance")
 def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = virtual.spectra(spark, sf_dir).select("id", register.sign_bits(F.col("bands")).alias("bits"))
-    return register.hamming_matches(d.where("id >= 100"), d.where("id < 100"))
-
-
-# All pairs of rows are slow in SQL; tests compare with brute force.
-@query()
-def hamming_knn_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of the table matched with all others."""
-    return register.hamming_matches_among(virtual.spectra(spark, sf_dir).select("id", register.sign_bits(F.col("bands")).alias("bits")))
+    """Every row of the table matched with all others, in pairs of blocks; a ratio at which random bits have matches."""
+    rows = virtual.spectra(spark, sf_dir).select("id", register.sign_bits(F.col("bands")).alias("bits"))
+    return register.hamming_matches_among(rows, 0.95).select("id", "match", F.col("distance").cast("long").alias("distance"))
 
 
 @query(_COMP + """, bx AS (SELECT blob, greatest(y0 - 40, 0) AS y0, least(y1 + 40, n - 1) AS y1, greatest(x0 - 40, 0) AS x0, least(x1 + 40, 49) AS x1 FROM ar, h),
@@ -552,10 +553,11 @@ def poisson_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson.poisson_blend(_seam(spark, sf_dir)[0]).withColumn("v", F.round("v", 2))
 
 
-@query("SELECT vec_id AS id, CAST(0 AS DOUBLE) AS probability FROM embeddings")
+@query("SELECT vec_id AS id, round(least(greatest(list_avg(CAST(embedding[1:10] AS DOUBLE[])) * 4, 0), 1), 6) AS probability, 0.0::DOUBLE AS without FROM embeddings")
 def cloud_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without a detector."""
-    return virtual.spectra(spark, sf_dir).select("id", plugins.cloud_probability(F.col("bands")).alias("probability"))
+    """With a detector whose values leave 0 to 1 at both ends, and without one."""
+    p = plugins.cloud_probability(F.col("bands"), lambda bands: pointwise.luminance(bands) * 4)
+    return virtual.spectra(spark, sf_dir).select("id", F.round(p, 6).alias("probability"), plugins.cloud_probability(F.col("bands")).alias("without"))
 
 
 @query("SELECT vec_id AS id, list_avg(CAST(embedding[1:10] AS DOUBLE[])) >= 0.05::DOUBLE AS cloud FROM embeddings")
@@ -565,10 +567,56 @@ def detected_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual.spectra(spark, sf_dir).select("id", (p >= 0.05).alias("cloud"))
 
 
-@query(_FILL + "SELECT y, x, coalesce(r, dn) AS r, coalesce(g, dn) AS g, coalesce(b, dn) AS b FROM f")
+@query(_FILL + """, whole AS (SELECT y, x, coalesce(r, dn) AS r, coalesce(g, dn) AS g, coalesce(b, dn) AS b, m AND none AS u FROM f),
+ known AS (SELECT x, sum(r) // count(*) AS kr, sum(g) // count(*) AS kg FROM whole WHERE NOT u GROUP BY x)
+ SELECT y, whole.x, CAST(CASE WHEN u AND y % 2 = 0 THEN coalesce(kr, r) ELSE r END AS BIGINT) AS r, CAST(CASE WHEN u AND y % 2 = 0 THEN coalesce(kg, g) ELSE g END AS BIGINT) AS g, CAST(CASE WHEN u AND y % 2 = 0 THEN coalesce(7, b) ELSE b END AS BIGINT) AS b FROM whole LEFT JOIN known USING (x)""")
 def inpaint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without an inpainter the composite stays."""
-    return plugins.inpaint(_filled(spark, sf_dir)).select("y", "x", "r", "g", "b")
+    """An inpainter that knows even rows only: the mean of the column's resolved pixels. Other unresolved pixels stay."""
+
+    def column_means(df: DataFrame) -> DataFrame:
+        mean = lambda c: F.expr(f"sum({c}) div count(*)").alias(c)
+        known = df.where(~F.col("unresolved")).groupBy("x").agg(mean("r"), mean("g"))
+        return df.where("y % 2 = 0").select("y", "x").join(known, "x", "left").withColumn("b", F.lit(7).cast("long"))
+
+    return plugins.inpaint(_filled(spark, sf_dir), column_means).select("y", "x", "r", "g", "b")
+
+
+@query("SELECT event_id AS id, CAST(round_even(-25.0 / tan(radians(greatest(user_id % 90, 1))) * cos(radians(event_id % 360)), 0) AS INTEGER) AS dy, CAST(round_even(-25.0 / tan(radians(greatest(user_id % 90, 1))) * sin(radians(event_id % 360)), 0) AS INTEGER) AS dx FROM events")
+def shadow_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets for the sun's places that the events give."""
+    e = virtual.table(spark, sf_dir, "events")
+    dy, dx = reconstruct.shadow_offsets(F.col("event_id") % 360, F.col("user_id") % 90, 25.0)
+    return e.select(F.col("event_id").alias("id"), dy.alias("dy"), dx.alias("dx"))
+
+
+@query(f"""WITH {_T}, {_BLOB}, {_foot('a', 'blob', 7)}, {_foot('d', 'blob', 7, True)}, {_foot('w', 'blob', 21)}, {_box('bx', 't', ['dn'], 40)}
+ SELECT y, x, blob.m OR a.m AND NOT d.m OR (w.m AND NOT blob.m AND t.dn * 1600 > bx.dn + 500 * 1600) AS m FROM blob JOIN a USING (y, x) JOIN d USING (y, x) JOIN w USING (y, x) JOIN t USING (y, x) JOIN bx USING (y, x)""")
+def merged_cloud_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, without a detector, with their border ring and halo, by the plan's own gating."""
+    blob, n = _blob(spark, sf_dir)
+    pixels = virtual.target(spark, sf_dir).select("y", "x", "dn").join(blob, ["y", "x"]).select("y", "x", "dn", F.when(F.col("m"), 9).otherwise(4).alias("scl"))
+    return reconstruct.cloud_mask(written(pixels), ["dn"], WIDTH, n, Config())
+
+
+_AT = "gr AS (SELECT y, x, (y + 0.5) * 0.5 + 2 - 0.5 AS sy, (x + 0.5) * 0.5 + 5 - 0.5 AS sx FROM t)"
+
+
+@query(f"WITH {_T}, {_AT}, c AS (SELECT gr.y, gr.x, floor(sy) + dy AS gy, floor(sx) + dx AS gx, (1 - abs(sy - floor(sy) - dy)) * (1 - abs(sx - floor(sx) - dx)) AS k FROM gr, range(2) a(dy), range(2) b(dx)), f AS (SELECT c.y, c.x, sum(dn * k) / sum(k) AS dn FROM c JOIN t ON t.y = gy AND t.x = gx WHERE k > 0 GROUP BY c.y, c.x) SELECT t.y, t.x, round(CAST(coalesce(f.dn, 0) AS DOUBLE), 6) AS dn FROM t LEFT JOIN f USING (y, x)")
+def aligned_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target brought, by the affine maps of both, to a grid of half its pixel size that begins 5 columns and 2 rows further."""
+    t, n = _pixels(spark, sf_dir)
+    grid = lambda a, c, e, f: Row(crs="EPSG:32631", width=WIDTH, height=n, transform=[a, 0.0, c, 0.0, e, f])
+    own, goal = grid(10.0, 500000.0, -10.0, 4600000.0), grid(5.0, 500050.0, -5.0, 4599980.0)
+    out = run_plan.on_grid(t.select("y", "x", F.col("dn").cast("double").alias("dn")), own, goal, ["dn"])
+    return out.select("y", "x", F.round("dn", 6).alias("dn"))
+
+
+@query(f"WITH {_T}, {_O}, r AS (SELECT y, x, scene, g, clear, round(1.0 / (1.0 + abs(date_diff('microsecond', t.acq, o.acq) / 8.64e10)), 9) AS weight FROM o JOIN t USING (y, x)) SELECT * FROM r UNION ALL SELECT y, x, 0 AS scene, dn AS g, true AS clear, 1.5 AS weight FROM t")
+def stack_with_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations with a reference layer before them, as scene 0 of its own weight."""
+    rows = _weighted(spark, sf_dir).select("y", "x", F.col("scene").cast("int").alias("scene"), "g", "clear", F.round("weight", 9).alias("weight"))
+    layer = virtual.target(spark, sf_dir).select("y", "x", F.lit(0).alias("scene"), F.col("dn").alias("g"), F.lit(True).alias("clear"), F.lit(Config().uploaded_reference_weight).alias("weight"))
+    return layer.unionByName(rows)
 
 
 @query(f"WITH {_T} SELECT y, x, dn, 9 - scl AS other FROM t")
@@ -582,18 +630,34 @@ def geotiff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("y", "x").agg(band(1, "long").alias("dn"), band(2, "int").alias("other"))
 
 
-# No SQL for corners, random samples and a least-squares fit; tests find a known shift.
-@query()
-def image_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoothed target registered to itself moved by (2, -3)."""
+def _registered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float | None]:
+    """The smoothed target registered to itself moved by (2, -3), and the mean distance of the matches that agree."""
     t, n = _pixels(spark, sf_dir)
     grey = written(neighborhood.box_sums(t, ["dn"], 5, WIDTH, n).select("y", "x", (F.col("dn") / 25.0).alias("grey")))
     moving = grey.select((F.col("y") + 2).alias("y"), (F.col("x") - 3).alias("x"), "grey", F.col("grey").alias("v")).where(F.col("y").between(0, n - 1) & F.col("x").between(0, WIDTH - 1))
-    return features.refined(grey, written(moving), ["v"], WIDTH, n)[0].withColumn("v", F.round("v", 3))
+    return features.refined(grey, written(moving), ["v"], WIDTH, n)
 
 
-# Holes by SQL would give each background pixel the numbers of all others; tests check the parts.
+# No SQL for corners, random samples and a least-squares fit; tests find a known shift, and the error is bounded below.
 @query()
+def image_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _registered(spark, sf_dir)[0].withColumn("v", F.round("v", 3))
+
+
+@query("SELECT true AS found, true AS within_half_a_pixel")
+def registration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the known move is found, and the mean distance of the matches that agree is under half a pixel."""
+    error = _registered(spark, sf_dir)[1]
+    return spark.createDataFrame([(error is not None, error is not None and error < 0.5)], "found boolean, within_half_a_pixel boolean")
+
+
+_CLEAN = f"""WITH RECURSIVE {_T}, {_BLOB}, {_foot('o1', 'blob', 5, True)}, {_foot('o2', 'o1', 5)}, {_foot('c1', 'o2', 5)}, {_foot('c2', 'c1', 5, True)}, shape AS MATERIALIZED (SELECT y, x, m FROM c2),
+ src AS MATERIALIZED (SELECT y, x FROM shape WHERE m), {_keyed_labels_sql('fg', 'src')}, large AS MATERIALIZED (SELECT y, x FROM fg WHERE l IN (SELECT l FROM fg GROUP BY l HAVING count(*) >= 40)),
+ rest AS MATERIALIZED (SELECT y, x FROM shape EXCEPT SELECT y, x FROM large), {_keyed_labels_sql('bg', 'rest')}, small AS (SELECT y, x FROM bg WHERE l IN (SELECT l FROM bg GROUP BY l HAVING count(*) < 64))
+ SELECT s.y, s.x, g.y IS NOT NULL AS m FROM shape s LEFT JOIN (SELECT y, x FROM large UNION SELECT y, x FROM small) g ON g.y = s.y AND g.x = s.x"""
+
+
+@query(_CLEAN)
 def clean_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruct.clean_mask(written(_blob(spark, sf_dir)[0]), WIDTH, Config())
 

@@ -41,6 +41,13 @@ def shadow_offset(config: Config) -> tuple[int, int]:
     return round(-far * math.cos(turn)), round(-far * math.sin(turn))
 
 
+def shadow_offsets(azimuth: Column, elevation: Column, height: float) -> tuple[Column, Column]:
+    """(dy, dx) as columns, for the sun's place of each row in degrees."""
+    far = F.lit(height) / F.tan(F.radians(F.greatest(elevation, F.lit(1))))
+    turn = F.radians(azimuth)
+    return F.rint(-far * F.cos(turn)).cast("int"), F.rint(-far * F.sin(turn)).cast("int")
+
+
 def _luminance(bands: list[str]) -> Column:
     return sum((F.col(b).cast("double") for b in bands), F.lit(0.0)) / len(bands)
 
