@@ -9,7 +9,8 @@ from clearstack.config import Config
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("clearstack", description=__doc__.split(": ")[1])
-    p.add_argument("--cloudy", required=True, help="GeoTIFF with clouds")
+    p.add_argument("--cloudy", help="GeoTIFF with clouds")
+    p.add_argument("--environment", action="store_true", help="say what there is to work with, and end")
     p.add_argument("--reference", help="clear GeoTIFF")
     p.add_argument("--scl", help="GeoTIFF of scene classes")
     p.add_argument("--catalog", help="Parquet table of other scenes: id, datetime, cloud_cover, lon, lat, path, scl_path")
@@ -40,8 +41,15 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from clearstack.plans.run import run
+    from clearstack.sources.runlog import environment
 
     spark = SparkSession.builder.appName("clearstack").getOrCreate()
+    if args.environment:
+        for name, value in environment(spark).items():
+            print(f"{name}: {value}")
+        return
+    if not args.cloudy:
+        parser().error("--cloudy is needed")
     catalog = spark.read.parquet(args.catalog) if args.catalog else None
     for name, value in run(spark, args.cloudy, args.reference, args.scl, catalog, configure(args)).items():
         print(f"{name}: {value}")

@@ -14,7 +14,6 @@ class Config:
     max_historical_images: int = 15
     search_window_days: int = 365
     cloud_cover_threshold: float = 20.0
-    stac_catalog_url: str | None = None
     stac_collection: str = "sentinel-2-l2a"
     point_buffer_deg: float = 0.02
     orb_features: int = 2000
@@ -37,7 +36,6 @@ class Config:
     scl_cloud_classes: tuple[int, ...] = (8, 9, 10, 11)
     scl_shadow_class: int = 3
     shadow_dark_percentile: float = 20.0
-    shadow_neighbor_px: int = 60
     sun_azimuth_deg: float | None = None
     sun_elevation_deg: float | None = None
     assumed_cloud_height_px: float = 25.0

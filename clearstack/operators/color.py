@@ -54,6 +54,21 @@ def color_transferred(df: DataFrame, size: int, width: int, height: int) -> Data
     return df.select("y", "x", "source").join(own, ["y", "x"]).join(goal, ["y", "x"]).select("y", "x", v.alias("v"))
 
 
+def normalized_layers(layers: dict[int, DataFrame], target: DataFrame, bands: list[str], size: int, width: int, height: int) -> dict[int, DataFrame]:
+    """Each layer (y, x, bands, ...) with its bands' local colours transferred from the clear pixels of target (y, x, bands, clear).
+
+    A stack bounds the number of layers. Other columns stay; a layer's missing pixels stay missing.
+    """
+    out = {}
+    for k, layer in layers.items():
+        keep = layer.select("y", "x", *[c for c in layer.columns if c not in ("y", "x", *bands)])
+        for b in bands:
+            pair = layer.select("y", "x", F.col(b).alias("source")).join(target.select("y", "x", F.col(b).alias("target"), "clear"), ["y", "x"])
+            keep = keep.join(color_transferred(pair, size, width, height).withColumnRenamed("v", b), ["y", "x"])
+        out[k] = keep.select(layer.columns)
+    return out
+
+
 def blob_histogram_match(df: DataFrame, labelled: DataFrame, width: int, height: int, margin: int = 40, least: int = 20, tile: int = 64) -> DataFrame:
     """y, x, v of pixels (y, x, result, cloudy, m): each component's result pixels matched within its box and a margin.
 

@@ -67,11 +67,29 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 def write_png(pixels: DataFrame, columns: list[str], path: str, width: int, height: int, ramp: bool = False, strip_bytes: int = 1 << 18) -> str:
     """A picture of columns of pixels (y, x, ...); missing pixels are black. With ramp, one column is drawn in colours."""
-    shown = displayable(pixels, columns)
+    return write_shown(displayable(pixels, columns), path, width, height, ramp, strip_bytes)
+
+
+def write_contact_sheet(layers: list[DataFrame], columns: list[str], path: str, width: int, height: int, across: int = 4, side: int = 256) -> str | None:
+    """Small pictures of the layers in rows of `across`, every k-th pixel so that none is longer than side; none without layers."""
+    if not layers:
+        return None
+    k = max(1, -(-max(width, height) // side))
+    w, h = -(-width // k) + 4, -(-height // k) + 4
+    sheet = None
+    for i, layer in enumerate(layers):
+        small = displayable(layer, columns).where((F.col("y") % k == 0) & (F.col("x") % k == 0))
+        small = small.withColumns({"y": F.expr(f"y div {k}") + i // across * h, "x": F.expr(f"x div {k}") + i % across * w})
+        sheet = small if sheet is None else sheet.unionByName(small)
+    return write_shown(sheet, path, min(len(layers), across) * w, -(-len(layers) // across) * h)
+
+
+def write_shown(shown: DataFrame, path: str, width: int, height: int, ramp: bool = False, strip_bytes: int = 1 << 18) -> str:
+    """A picture of y, x, u0 ... of displayable()."""
     channels = len(shown.columns) - 2
     ramp = ramp and channels == 1
     rows = max(1, strip_bytes // (width * channels))
-    spark = pixels.sparkSession
+    spark = shown.sparkSession
     frame = shown.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).withColumn("strip", F.expr(f"y div {rows}"))
     blank = spark.range(-(-height // rows)).select((F.col("id") * rows).alias("y"), F.lit(0).cast("long").alias("x"), *[F.lit(None).cast("int").alias(f"u{b}") for b in range(channels)], F.col("id").alias("strip"))
     frame = frame.unionByName(blank.join(frame.select("strip").distinct(), "strip", "left_anti"))

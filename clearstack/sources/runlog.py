@@ -27,6 +27,14 @@ def versions() -> dict[str, str]:
     return found
 
 
+def environment(spark: SparkSession) -> dict[str, Any]:
+    """What a run has to work with: versions, and the session's master, cores, memory and shared folder."""
+    conf = spark.sparkContext.getConf()
+    session = {"master": spark.sparkContext.master, "cores": spark.sparkContext.defaultParallelism, "shared folder": spark.conf.get("spark.checkpoint.dir", "not set")}
+    memory = {k: conf.get(f"spark.{k}.memory", "default") for k in ("driver", "executor")}
+    return versions() | session | {f"{k} memory": v for k, v in memory.items()}
+
+
 class RunLog:
     def __init__(self, echo: bool = True) -> None:
         self.began, self.echo = time.time(), echo
@@ -49,7 +57,7 @@ class RunLog:
             "Configuration": table(dataclasses.asdict(config)),
             "Metrics": table(self.metrics),
             "Scenes": [f"  {s}" for s in self.scenes] or ["  none"],
-            "Versions": table(versions()),
+            "Environment": table(environment(spark)),
             "Events": self.events,
         }
         text = "\n\n".join("\n".join([name, "-" * len(name), *lines]) for name, lines in parts.items())

@@ -18,5 +18,5 @@ def test_hamming_matches_among_all_rows(spark):
             want.add((i, match, one))
     df = spark.createDataFrame(rows, "id long, bits long")
     assert len(want) >= 20 and all({tuple(r) for r in register.hamming_matches_among(df, block=k).collect()} == want for k in (2000, 90))
-    among = {tuple(r) for r in QUERIES["hamming_knn_whole"](spark, DATA).collect()}
-    assert among == {tuple(r) for r in register.hamming_matches_among(d).collect()}
+    among = {tuple(r) for r in QUERIES["hamming_knn"](spark, DATA).collect()}
+    assert among == {tuple(r) for r in register.hamming_matches_among(d, 0.95).collect()}

@@ -89,3 +89,48 @@ def test_query_agrees_with_sql(spark, name):
     got = QUERIES[name](spark, DATA).select(*names).collect()
     key = lambda r: tuple((v is None, round(v, 6) if isinstance(v, float) else v or 0) for v in r)
     assert sorted(map(key, got)) == sorted(map(key, expected))
+
+
+def test_windows_across_tiles(spark, monkeypatch):
+    """Box sums, distances, dilation and growth are the same whatever the size of tiles."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(y, x, int(rng.integers(100)), bool(rng.random() < 0.06)) for y in range(23) for x in range(31)], "y long, x long, v long, m boolean").cache()
+
+    def answers():
+        labelled = components.label(df.where("m"), 31)
+        parts = (neighborhood.box_sums(df, ["v"], 7, 31, 23), neighborhood.distance_squared(df.where("m"), df, 6), morphology.dilate(df, 7), components.expanded(labelled, df, 0.3, 2, 4), neighborhood.gaussian(df, ["v"], 1.0, 31, 23).withColumn("v", F.round("v", 9)))
+        return [sorted(map(tuple, p.collect()), key=repr) for p in parts]
+
+    monkeypatch.setattr(neighborhood, "TILE", 5)
+    small = answers()
+    monkeypatch.setattr(neighborhood, "TILE", 512)
+    assert small == answers()
+
+
+def test_percentiles_in_passes(spark, monkeypatch):
+    """Exact percentiles with few bins and few values held, of ties, nulls, tiny ranges and one value."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(pointwise, "BINS", 4)
+    monkeypatch.setattr(pointwise, "HELD", 6)
+    for v in (rng.normal(size=200), np.repeat([1.0, 2.0, 5.0], 40), np.array([3.0]), np.array([1.0, 1.0 + 2**-52, 1.0 + 2**-51])):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+        for share in (0.0, 0.2, 0.99, 1.0):
+            assert pointwise.percentile(df, "v", share) == pytest.approx(np.percentile(v, 100 * share), rel=1e-14)
+    assert pointwise.percentile(spark.createDataFrame([], "v double"), "v", 0.5) is None
+
+
+def test_layers_take_local_colours(spark):
+    """Each layer as color_transferred() gives it alone; other columns stay."""
+    from clearstack.operators import color
+
+    px = [(y, x, 1000 + 10 * y + x, 2000 + 7 * x, (y + x) % 5 > 0) for y in range(12) for x in range(9)]
+    df = spark.createDataFrame(px, "y long, x long, r long, other long, clear boolean")
+    layers = {k: df.select("y", "x", (F.col("other") * (k + 1)).alias("r"), F.lit(k).alias("scene")) for k in (0, 1)}
+    for k, out in color.normalized_layers(layers, df.select("y", "x", "r", "clear"), ["r"], 5, 9, 12).items():
+        pair = df.select("y", "x", (F.col("other") * (k + 1)).alias("source"), F.col("r").alias("target"), "clear")
+        want = {(r.y, r.x): round(r.v, 6) for r in color.color_transferred(pair, 5, 9, 12).collect()}
+        assert out.columns == ["y", "x", "r", "scene"] and {(r.y, r.x): round(r.r, 6) for r in out.collect()} == want

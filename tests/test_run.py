@@ -42,6 +42,31 @@ def test_a_run_writes_its_results(spark, tmp_path):
     assert "cloud_percentage" in text and "temporal_stack_layers: 1" in text and "pyspark" in text
 
 
+def test_scenes_of_single_band_assets_behind_signed_names(spark, tmp_path):
+    """Assets of a map column, read under signed names, of the configured collection only; previews of what was read."""
+    y, x = np.mgrid[:H, :W]
+    ground = np.repeat((2000 + 20 * y + 10 * x)[:, :, None], 4, axis=2) + np.arange(4) * 100
+    files = {a: _write(spark, tmp_path / f"signed-{a}.tif", ground[:, :, i]) for i, a in enumerate(runs.BAND_ASSETS)}
+    files["SCL"] = _write(spark, tmp_path / "signed-SCL.tif", np.where(x < 4, 9, 4))
+    plain = {a: p.replace("signed-", "") for a, p in files.items()}
+    day = dt.datetime(2024, 1, 10)
+    rows = [("a/1", day, 1.0, 5.0, 5.0, "sentinel-2-l2a", plain), ("b", day, 1.0, 5.0, 5.0, "other", plain), ("c", day, 1.0, 5.0, 5.0, "sentinel-2-l2a", {"B04": plain["B04"]})]
+    catalog = spark.createDataFrame(rows, "id string, datetime timestamp_ntz, cloud_cover double, lon double, lat double, collection string, assets map<string,string>")
+    config = configure(parser().parse_args(["--lat", "5", "--lon", "5", "--date", "2024-01-10", "--no-poisson-blending", "--output-root", f"file://{tmp_path}/out"]))
+    log, sign = RunLog(echo=False), lambda p: p.replace(f"{tmp_path}/", f"{tmp_path}/signed-")
+    goal, target, bands = runs._read(spark, _write(spark, tmp_path / "t.tif", ground))
+    shown = []
+    got = runs.scenes(spark, catalog, goal, target.cache(), bands, config, day, log, sign, lambda n, d: shown.append(n))
+    assert len(got) == 1 and shown == ["a/1"] and len(log.events) == 1 and "no asset B03" in log.events[0]
+    out = got[0].collect()
+    assert len(out) == H * W and all([r.r, r.g, r.b, r.n] == ground[r.y, r.x].tolist() and r.clear == (r.x >= 4) for r in out)
+    from clearstack.sources import png
+
+    png.write_contact_sheet([got[0], target, target], ["r", "g", "b"], f"file://{tmp_path}/sheet.png", W, H, across=2, side=16)
+    head = (tmp_path / "sheet.png").read_bytes()[16:24]
+    assert (int.from_bytes(head[:4], "big"), int.from_bytes(head[4:], "big")) == (2 * (16 + 4), 2 * (15 + 4))
+
+
 def test_a_failed_run_leaves_its_log(spark, tmp_path):
     config = configure(parser().parse_args(["--cloudy", "x", "--output-root", f"file://{tmp_path}"]))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
