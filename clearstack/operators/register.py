@@ -1,4 +1,4 @@
-"""Regridding by an affine map of the same coordinate system, and descriptor matching."""
+"""Regridding to places in a source raster, and descriptor matching."""
 
 from __future__ import annotations
 
@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 from clearstack.session import ship
 
 
-def nearest(grid: DataFrame, source: DataFrame, sy: Column, sx: Column, value: str) -> DataFrame:
-    """y, x and value of the source pixel nearest to (sy, sx); 0 outside the source, as for a footprint's outside."""
+def nearest(grid: DataFrame, source: DataFrame, sy: Column, sx: Column, *values: str) -> DataFrame:
+    """y, x and values of the source pixel nearest to (sy, sx); 0 outside the source, as for a footprint's outside."""
     at = grid.select("y", "x", F.floor(sy + 0.5).cast("long").alias("gy"), F.floor(sx + 0.5).cast("long").alias("gx"))
-    s = source.select(F.col("y").alias("gy"), F.col("x").alias("gx"), value)
-    return at.join(s, ["gy", "gx"], "left").select("y", "x", F.coalesce(value, F.lit(0)).alias(value))
+    s = source.select(F.col("y").alias("gy"), F.col("x").alias("gx"), *values)
+    return at.join(s, ["gy", "gx"], "left").select("y", "x", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 
 
-def bilinear(grid: DataFrame, source: DataFrame, sy: Column, sx: Column, value: str) -> DataFrame:
-    """y, x and the value interpolated from the source pixels about (sy, sx); those outside the source weigh nothing."""
+def bilinear(grid: DataFrame, source: DataFrame, sy: Column, sx: Column, *values: str) -> DataFrame:
+    """y, x and values interpolated from the source pixels about (sy, sx); those outside the source weigh nothing."""
     at = grid.select("y", "x", sy.alias("sy"), sx.alias("sx")).withColumn("fy", F.floor("sy").cast("long")).withColumn("fx", F.floor("sx").cast("long"))
     corners = F.array(*[F.struct((F.col("fy") + dy).alias("gy"), (F.col("fx") + dx).alias("gx"), ((1 - F.abs(F.col("sy") - F.col("fy") - dy)) * (1 - F.abs(F.col("sx") - F.col("fx") - dx))).alias("k")) for dy in (0, 1) for dx in (0, 1)])
     near = at.select("y", "x", F.explode(corners).alias("c")).select("y", "x", "c.*").where("k > 0")
-    s = source.select(F.col("y").alias("gy"), F.col("x").alias("gx"), F.col(value).alias("v"))
-    return near.join(s, ["gy", "gx"]).groupBy("y", "x").agg(F.round(F.sum(F.col("v") * F.col("k")) / F.sum("k"), 6).alias(value))
+    s = source.select(F.col("y").alias("gy"), F.col("x").alias("gx"), F.array(*[F.col(v).cast("double") for v in values]).alias("vs"))
+    share = lambda i, v: F.round(F.sum(F.col("vs")[i] * F.col("k")) / F.sum("k"), 6).alias(v)
+    return near.join(s, ["gy", "gx"]).groupBy("y", "x").agg(*[share(i, v) for i, v in enumerate(values)])
 
 
 def sign_bits(bands: Column) -> Column:

@@ -611,6 +611,21 @@ def aligned_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("y", "x", F.round("dn", 6).alias("dn"))
 
 
+_K = "(SELECT y, x, (x + 0.5) * 0.00012 + 2.163 AS lon, 41.545 - (y + 0.5) * 0.00009 AS lat, 1 / 298.257223563 / (2 - 1 / 298.257223563) AS n FROM t)"
+
+
+@query(f"""WITH {_T}, a AS (SELECT y, x, radians(lon - 3) AS l, sin(radians(lat)) AS s, n, 2 * sqrt(n) / (1 + n) AS e FROM {_K}), b AS (SELECT *, sinh(atanh(s) - e * atanh(e * s)) AS c FROM a),
+ d AS (SELECT *, atan2(c, cos(l)) AS p, asinh(sin(l) / sqrt(c * c + cos(l) * cos(l))) AS q, 0.9996 * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS r, [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16, 13 * n ** 2 / 48 - 3 * n ** 3 / 5, 61 * n ** 3 / 240] AS k FROM b),
+ f AS (SELECT y, x, 500000 + r * (q + list_sum([k[j] * cos(2 * j * p) * sinh(2 * j * q) for j in [1, 2, 3]])) AS east, r * (p + list_sum([k[j] * sin(2 * j * p) * cosh(2 * j * q) for j in [1, 2, 3]])) AS north FROM d)
+ SELECT f.y, f.x, CAST(coalesce(t.dn, 0) AS DOUBLE) AS dn FROM f LEFT JOIN t ON t.x = floor((east - 430000) / 10) AND t.y = floor((4600000 - north) / 10)""")
+def geographic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target, of a UTM zone, brought to a grid of degrees by the nearest pixel."""
+    t, n = _pixels(spark, sf_dir)
+    own = Row(crs="EPSG:32631", width=WIDTH, height=n, transform=[10.0, 0.0, 430000.0, 0.0, -10.0, 4600000.0])
+    goal = Row(crs="EPSG:4326", width=WIDTH, height=n, transform=[0.00012, 0.0, 2.163, 0.0, -0.00009, 41.545])
+    return run_plan.on_grid(t.select("y", "x", F.col("dn").cast("double").alias("dn")), own, goal, ["dn"], nearest=True)
+
+
 @query(f"WITH {_T}, {_O}, r AS (SELECT y, x, scene, g, clear, round(1.0 / (1.0 + abs(date_diff('microsecond', t.acq, o.acq) / 8.64e10)), 9) AS weight FROM o JOIN t USING (y, x)) SELECT * FROM r UNION ALL SELECT y, x, 0 AS scene, dn AS g, true AS clear, 1.5 AS weight FROM t")
 def stack_with_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observations with a reference layer before them, as scene 0 of its own weight."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from clearstack.config import Config
-from clearstack.operators import features, plugins, pointwise, register
+from clearstack.operators import features, plugins, pointwise, projection, register
 from clearstack.session import written
 from clearstack.plans.reconstruct import reconstruct
 from clearstack.sources import png, search, tiff
@@ -35,26 +35,26 @@ def same_grid(a: Row, b: Row) -> bool:
 def on_grid(pixels: DataFrame, meta: Row, goal: Row, names: list[str], nearest: bool = False) -> DataFrame:
     """y, x, names on the goal's grid: as they are where the grids agree, else by the affine maps; 0 outside.
 
-    Only rasters of one coordinate system can be aligned.
+    Pixels of another coordinate system are sought by the formulas of `projection`; other systems raise ValueError.
     """
     if same_grid(meta, goal):
         return pixels
-    if meta.crs != goal.crs or meta.transform is None or goal.transform is None:
-        raise ValueError(f"no way from {meta.crs} to {goal.crs}")
+    if meta.transform is None or goal.transform is None:
+        raise ValueError("a raster without a place can't be aligned")
     a, b, c, d, e, f = goal.transform
     p, q, r, s, t, u = meta.transform
     det = p * t - q * s
-    # Pixel centres: half a pixel on, to coordinates, back, half a pixel off.
+    # Pixel centres: half a pixel on, to coordinates, to the source's system, back, half a pixel off.
     cx, cy = F.col("x") + 0.5, F.col("y") + 0.5
-    X, Y = a * cx + b * cy + (c - r), d * cx + e * cy + (f - u)
-    sx, sy = (t * X - q * Y) / det - 0.5, (p * Y - s * X) / det - 0.5
     spark = pixels.sparkSession
     grid = spark.range(goal.width * goal.height).select(F.expr(f"id div {goal.width}").alias("y"), F.expr(f"id % {goal.width}").alias("x"))
-    out = grid
-    for n in names:
-        got = register.nearest(grid, pixels, sy, sx, n) if nearest else register.bilinear(grid, pixels, sy, sx, n)
-        out = out.join(got, ["y", "x"], "left")
-    return out.select("y", "x", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    at = grid.select("y", "x", (a * cx + b * cy + c).alias("east"), (d * cx + e * cy + f).alias("north"))
+    if meta.crs != goal.crs:
+        at = projection.between(at, "east", "north", goal.crs, meta.crs)
+    X, Y = F.col("east") - r, F.col("north") - u
+    at = at.select("y", "x", ((p * Y - s * X) / det - 0.5).alias("at_y"), ((t * X - q * Y) / det - 0.5).alias("at_x"))
+    got = (register.nearest if nearest else register.bilinear)(at, pixels, F.col("at_y"), F.col("at_x"), *names)
+    return grid.join(got, ["y", "x"], "left").select("y", "x", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
 
 
 def _read(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[Row, DataFrame, list[str]]:

@@ -79,7 +79,7 @@ def test_scenes_are_aligned_and_broken_ones_left_out(spark, tmp_path):
     ground = np.repeat((2000 + 20 * y + 10 * x)[:, :, None], 4, axis=2)
     wide = np.pad(ground, ((3, 3), (5, 5), (0, 0)), mode="edge")
     good = _write(spark, tmp_path / "good.tif", wide, [10.0, 0.0, 950.0, 0.0, -10.0, 2030.0])
-    other = _write(spark, tmp_path / "other.tif", ground, crs="EPSG:4326")
+    other = _write(spark, tmp_path / "other.tif", ground, crs="EPSG:2154")
     few = _write(spark, tmp_path / "few.tif", ground[:, :, :2])
     day = dt.datetime(2024, 1, 10)
     rows = [("a", day - dt.timedelta(days=3), 1.0, 5.0, 5.0, good), ("b", day, 1.0, 5.0, 5.0, other), ("c", day, 1.0, 5.0, 5.0, few), ("d", day, 1.0, 5.0, 5.0, good + "x"), ("e", day, 50.0, 5.0, 5.0, good)]
