@@ -1,44 +1,80 @@
-"""4-connected components of a mask, over runs of pixels.
+"""4-connected components of a mask: within square tiles in one pass, then between them.
 
-Each row's true pixels make runs; runs of neighbouring rows that overlap are linked. Runs are far fewer than pixels, and
-labels travel along links and then jump to the label of their label, so a component of n runs takes about log n rounds.
-Every round is written to the folder in spark.checkpoint.dir; nothing but an emptiness test reaches the driver.
+A tile's components are found by one task in memory; only components that meet across the edge of a tile are linked.
+Labels travel along these links and then jump to the label of their label, so a component over n tiles takes about log n
+rounds. Every round is written to the folder in spark.checkpoint.dir; nothing but an emptiness test reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearstack.operators.neighborhood import nearest_marks
-from clearstack.session import discard, written
+from clearstack.session import discard, ship, written
 
 
-#: Columns in one tile in which runs are linked.
+#: Rows and columns of a tile: a task holds so many pixels squared.
 TILE = 256
-#: Rounds of label propagation; a component of n runs takes about log n.
+#: Rounds of label propagation; a component over n tiles takes about log n.
 MAX_ROUNDS = 60
 
 
+def _roots(n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The least of the numbers under n that each is linked with, by links of one[i] and other[i]."""
+    root = np.arange(n)
+    while True:
+        a, b = root[one], root[other]
+        apart = a != b
+        if not apart.any():
+            return root
+        one, other, a, b = one[apart], other[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def tile_components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each of the pixels of a tile, each given once, the place of the first (by y, then x) of its component."""
+    order = np.lexsort((x, y))
+    y, x = y[order] - y.min(), x[order] - x.min()
+    at = np.full((y.max() + 2, x.max() + 2), -1)
+    at[y, x] = np.arange(len(y))
+    right, below = at[y, x + 1], at[y + 1, x]
+    own = np.arange(len(y))
+    root = _roots(len(y), np.concatenate([own[right >= 0], own[below >= 0]]), np.concatenate([right[right >= 0], below[below >= 0]]))
+    out = np.empty(len(y), dtype=np.int64)
+    out[order] = order[root]
+    return out
+
+
 def label(mask: DataFrame, width: int) -> DataFrame:
-    """y, x and blob (the least y * width + x of the component) of the true pixels (y, x) of a sparse mask."""
-    w = Window.partitionBy("y").orderBy("x")
-    start = F.when(F.coalesce(F.col("x") - F.lag("x").over(w) > 1, F.lit(True)), F.col("x"))
-    pixels = mask.select("y", "x").withColumn("start", start).withColumn("left", F.last("start", ignorenulls=True).over(w)).drop("start")
-    runs = written(pixels.groupBy("y", "left").agg(F.max("x").alias("right")).withColumn("run", F.col("y") * width + F.col("left")))
-    # Runs meet by row and tile of columns, in each tile that both reach: a run of a whole row goes to width / TILE tiles.
-    tiles = F.explode(F.sequence(F.expr(f"left div {TILE}"), F.expr(f"right div {TILE}"))).alias("tile")
-    above = runs.select("y", "left", "right", "run", tiles)
-    below = above.select((F.col("y") - 1).alias("y"), F.col("left").alias("l"), F.col("right").alias("r"), F.col("run").alias("other"), "tile")
-    met = F.expr(f"greatest(left, l) div {TILE}") == F.col("tile")  # of the tiles that both reach, the first
-    links = above.join(below, ["y", "tile"]).where(F.expr("l <= right and r >= left") & met).select("run", "other")
-    ways = written(links.union(links.select(F.col("other").alias("run"), F.col("run").alias("other"))))
-    labels = written(runs.select("run", F.col("run").alias("blob")))
+    """y, x and blob (the least y * width + x of the component) of the true pixels (y, x) of a sparse mask, each once."""
+    ship(mask.sparkSession)
+
+    def within(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.drop_duplicates(["y", "x"])
+        y, x = tile["y"].to_numpy(), tile["x"].to_numpy()
+        return pd.DataFrame({"y": y, "x": x, "part": (y * width + x)[tile_components(y, x)]})
+
+    pixels = mask.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    parts = written(pixels.groupBy(F.floor(F.col("y") / TILE).alias("ty"), F.floor(F.col("x") / TILE).alias("tx")).applyInPandas(lambda _, tile: within(tile), "y long, x long, part long"))
+    # Pixels at a tile's last row or column, each moved on by one, meet those of the next tile.
+    on = [parts.where(F.pmod(F.col(c) + 1, F.lit(TILE)) == 0).select(*[(F.col(a) + int(a == c)).alias(a) for a in ("y", "x")], F.lit(c).alias("over"), F.col("part").alias("other")) for c in ("y", "x")]
+    first = [parts.where(F.pmod(F.col(c), F.lit(TILE)) == 0).select("y", "x", F.lit(c).alias("over"), F.col("part").alias("run")) for c in ("y", "x")]
+    links = on[0].union(on[1]).join(first[0].union(first[1]), ["y", "x", "over"]).select("run", "other")
+    ways = written(links.union(links.select("other", "run")).distinct())
+    if ways.isEmpty():
+        discard(ways)
+        return parts.withColumnRenamed("part", "blob")
+    labels = written(ways.groupBy("run").agg(F.least("run", F.min("other")).alias("blob")))
     for _ in range(MAX_ROUNDS):
         spread = ways.join(labels.select(F.col("run").alias("other"), "blob"), "other").groupBy("run").agg(F.min("blob").alias("near"))
-        nearer = labels.join(spread, "run", "left").select("run", "blob", F.least("blob", F.coalesce("near", "blob")).alias("near"))
+        nearer = labels.join(spread, "run").select("run", "blob", F.least("blob", "near").alias("near"))
         jump = labels.select(F.col("run").alias("near"), F.col("blob").alias("far"))
         after = written(nearer.join(jump, "near").select("run", F.least("near", "far").alias("now"), (F.least("near", "far") < F.col("blob")).alias("moved")))
         discard(labels)
@@ -48,7 +84,8 @@ def label(mask: DataFrame, width: int) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return pixels.withColumn("run", F.col("y") * width + F.col("left")).join(labels, "run").select("y", "x", "blob")
+    discard(ways)
+    return parts.join(labels.withColumnRenamed("run", "part"), "part", "left").select("y", "x", F.coalesce("blob", "part").alias("blob"))
 
 
 def areas(labelled: DataFrame) -> DataFrame:
