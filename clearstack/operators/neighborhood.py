@@ -1,5 +1,7 @@
 """Neighbourhood operators over pixels (y, x, ...), as separable windows: one shuffle by row, one by column.
 
+Distances are found in squares of the raster, a task each, in one shuffle.
+
 Windows run within tiles of TILE places of a row or column, whose edges are copied as far as a window reaches: a task
 holds a tile, however long a row is, and windows are bounded, so time grows in proportion to the pixels.
 """
@@ -8,12 +10,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clearstack.session import ship
 
 #: Places of one tile of a row or column.
 TILE = 512
+#: Rows and columns of a square in which distances are found; a task holds one and its surroundings.
+SQUARE = 256
 
 
 def tiles(axis: str, back: int, on: int) -> Column:
@@ -61,31 +68,57 @@ def local_stats(df: DataFrame, value: str, weight: str, size: int, width: int, h
 
 def distance_squared(mask: DataFrame, pixels: DataFrame, reach: int) -> DataFrame:
     """y, x and d2, the squared distance of each pixel to the nearest mask pixel (y, x), null beyond reach.
-
-    First the nearest in each column, then the least over the columns within reach, each by bounded windows.
     """
     marked = pixels.select("y", "x").join(mask.select("y", "x", F.lit(0).cast("long").alias("id")), ["y", "x"], "left")
     return nearest_marks(marked, reach).select("y", "x", F.col("near.d2").alias("d2"))
 
 
+def nearest_in_square(y: np.ndarray, x: np.ndarray, my: np.ndarray, mx: np.ndarray, rank: np.ndarray, side: int, reach: int) -> np.ndarray:
+    """For places (y, x) of a square from 0 on, (squared distance << 32) + rank of the nearest mark, the least rank of equally near ones.
+
+    Marks may lie up to reach outside. The nearest in each column comes first, then the least over columns.
+    """
+    n = side + 2 * reach
+    grid = np.full((n, n), 1 << 62)
+    np.minimum.at(grid, (my + reach, mx + reach), rank)
+    tall, best = np.full((side, n), 1 << 62), np.full((side, side), 1 << 62)
+    for d in range(n - side + 1):
+        np.minimum(tall, grid[d : d + side] + ((d - reach) ** 2 << 32), out=tall)
+    for d in range(n - side + 1):
+        np.minimum(best, tall[:, d : d + side] + ((d - reach) ** 2 << 32), out=best)
+    return best[y, x]
+
+
 def nearest_marks(marked: DataFrame, reach: int) -> DataFrame:
     """y, x and near, a struct of d2 and id of the nearest marked pixel (y, x, id; id is null for others), the least id of equally near ones.
 
-    near is null beyond reach. In each column only the nearest mark above and below can be a pixel's nearest.
+    near is null beyond reach. Marks are copied to the squares that they reach, other pixels go to their own alone.
     """
-    column = Window.partitionBy("x", "tile").orderBy("y")
-    own = F.when(F.col("id").isNotNull(), F.struct("y", "id"))
-    rows = marked.select("y", "x", "id").withColumn("tile", tiles("y", reach, reach))
-    rows = rows.select("y", "x", "tile", F.max(own).over(column.rangeBetween(-reach, 0)).alias("up"), F.min(own).over(column.rangeBetween(0, reach)).alias("down")).where(own_tile("y"))
-    square = lambda s: F.struct(((s["y"] - F.col("y")) * (s["y"] - F.col("y"))).alias("g"), s["id"].alias("id"))
-    least = F.least(square(F.col("up")), square(F.col("down")))
-    least = F.when(F.col("up").isNull(), F.when(F.col("down").isNotNull(), square(F.col("down")))).when(F.col("down").isNull(), square(F.col("up"))).otherwise(least)
-    rows = rows.select("y", "x", least.alias("s")).withColumn("tile", tiles("x", reach, reach))
-    line = Window.partitionBy("y", "tile").orderBy("x").rangeBetween(-reach, reach)
-    seen = F.collect_list(F.when(F.col("s").isNotNull(), F.struct("x", "s.g", "s.id"))).over(line)
-    rows = rows.select("y", "x", "tile", seen.alias("seen")).where(own_tile("x"))
-    found = F.array_min(F.transform("seen", lambda p: F.struct((p["g"] + (p["x"] - F.col("x")) * (p["x"] - F.col("x"))).alias("d2"), p["id"].alias("id"))))
-    return rows.select("y", "x", found.alias("near")).select("y", "x", F.when(F.col("near.d2") <= reach * reach, F.col("near")).alias("near"))
+    ship(marked.sparkSession)
+    side = SQUARE
+
+    def within(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["y"].to_numpy() - int(key[0]) * side, rows["x"].to_numpy() - int(key[1]) * side
+        own, mark = (y >= 0) & (y < side) & (x >= 0) & (x < side), rows["mark"].to_numpy(dtype=bool)
+        out = rows.loc[own, ["y", "x"]]
+        if not mark.any():
+            return out.assign(d2=pd.array([pd.NA] * len(out), "Int64"), id=pd.array([pd.NA] * len(out), "Int64"))
+        ids, rank = np.unique(rows["id"].to_numpy()[mark], return_inverse=True)
+        got = nearest_in_square(y[own], x[own], y[mark], x[mark], rank, side, reach)
+        far = got >> 32 > reach * reach
+        nearest = ids[np.where(far, 0, got & 0xFFFFFFFF)]
+        return out.assign(d2=pd.arrays.IntegerArray(got >> 32, far), id=pd.arrays.IntegerArray(nearest, far))
+
+    def squares(axis: str) -> Column:
+        at = lambda c: F.floor(c / side)
+        c = F.col(axis)
+        return F.explode(F.when(F.col("mark"), F.sequence(at(c - reach), at(c + reach))).otherwise(F.array(at(c))))
+
+    mark = F.col("id").isNotNull().alias("mark")
+    rows = marked.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), mark)
+    rows = rows.select("*", squares("y").alias("ty")).select("*", squares("x").alias("tx"))
+    found = rows.groupBy("ty", "tx").applyInPandas(within, "y long, x long, d2 long, id long")
+    return found.select("y", "x", F.when(F.col("d2").isNotNull(), F.struct("d2", "id")).alias("near"))
 
 
 TAPS = (1, 4, 6, 4, 1)

@@ -308,6 +308,7 @@ def shift_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shadow_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class 3, or dark, in the mask shifted by (12, -9), outside it and within 20 pixels of it; dilated by 3, less the mask."""
     mask, n = _blob(spark, sf_dir)
+    mask = written(mask)
     t = virtual.target(spark, sf_dir)
     cloud = mask.where("m").select("y", "x")
     moved = morphology.shifted(cloud, 12, -9, WIDTH, n).withColumn("moved", F.lit(True))

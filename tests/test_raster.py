@@ -104,11 +104,29 @@ def test_windows_across_tiles(spark, monkeypatch):
         return [sorted(map(tuple, p.collect()), key=repr) for p in parts]
 
     monkeypatch.setattr(neighborhood, "TILE", 5)
+    monkeypatch.setattr(neighborhood, "SQUARE", 4)
     small = answers()
     monkeypatch.setattr(neighborhood, "TILE", 512)
+    monkeypatch.setattr(neighborhood, "SQUARE", 256)
     assert small == answers()
 
 
+@pytest.mark.parametrize("square", [4, 256])
+def test_nearest_marks_by_brute_force(spark, monkeypatch, square):
+    """Pixels missing, ids too large for a float, ties between marks of other ids; squares smaller than the reach."""
+    import numpy as np
+
+    monkeypatch.setattr(neighborhood, "SQUARE", square)
+    rng = np.random.default_rng(6)
+    rows = [(y, x, 2**60 + int(rng.integers(4)) if rng.random() < 0.03 else None) for y in range(30) for x in range(-3, 25) if rng.random() < 0.8]
+    marks = [r for r in rows if r[2] is not None]
+    got = neighborhood.nearest_marks(spark.createDataFrame(rows, "y long, x long, id long"), 6).collect()
+    near = lambda y, x: min((((y - a) ** 2 + (x - b) ** 2, i) for a, b, i in marks if (y - a) ** 2 + (x - b) ** 2 <= 36), default=None)
+    assert len(got) == len(rows) and {(r.y, r.x): r.near and tuple(r.near) for r in got} == {(y, x): near(y, x) for y, x, _ in rows}
+    none = neighborhood.nearest_marks(spark.createDataFrame([(1, 1, None)], "y long, x long, id long"), 6).collect()
+    assert [tuple(r) for r in none] == [(1, 1, None)]
+
+
 def test_percentiles_in_passes(spark, monkeypatch):
     """Exact percentiles with few bins and few values held, of ties, nulls, tiny ranges and one value."""
     import numpy as np
