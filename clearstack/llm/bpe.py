@@ -27,7 +27,7 @@ from clearstack.llm import words
 
 LONG = 48
 _NONE = 1 << 30
-#: Words' ids that a worker keeps between batches, in a direct-mapped table: 2^21 entries and at most so many ids, about 110 MB.
+#: Words' ids that a worker keeps between batches, in a direct-mapped table: 2^21 entries and at most so many ids, about 100 MB.
 CACHE_BITS, CACHE_IDS = 21, 16_000_000
 _ODD = re.compile("[^\t-\r -~¡-įı-ɏ]|<\\|")
 _CONTROL = np.zeros(256, bool)
@@ -92,7 +92,7 @@ class Encoder:
         import regex
 
         #: Classes of code points under 0x250: 0 white space, 1 letter, 2 number, 3 other.
-        self._forget()
+        self.forget()
         self.kind = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if regex.match(r"\p{L}", chr(c)) else 2 if regex.match(r"\p{N}", chr(c)) else 3 for c in range(0x250)], np.int8)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -114,20 +114,21 @@ class Encoder:
     def _encode_any(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the words' ids; they are merged again when they come again."""
         size = 1 << CACHE_BITS
-        self.known, self.place, self.count = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.known, self.place, self.count = np.zeros(size, np.uint64), np.zeros(size, np.uint32), np.zeros(size, np.uint32)
         self.store, self.stored = np.empty(1 << 16, np.uint32), 0
 
     def _ids_of(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of distinct pre-tokens lie in the store, and how many they are."""
         slot = (hashes & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int64)
-        place, count = self.place[slot], self.count[slot]
+        place, count = self.place[slot].astype(np.int64), self.count[slot].astype(np.int64)
         new = np.flatnonzero(self.known[slot] != hashes)
         if len(new):
             flat, offset = self._merge(data, starts[new], ends[new])
             if self.stored + len(flat) > CACHE_IDS and len(new) < len(hashes):
-                self._forget()
+                self.forget()
                 return self._ids_of(data, hashes, starts, ends)
             if self.stored + len(flat) > len(self.store):
                 self.store = np.concatenate([self.store[: self.stored], np.empty(self.stored + len(flat), np.uint32)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +32,14 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def release() -> None:
+    """Give this process's free memory back to the system: a worker is kept, and would hold it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
     """Map batches of df, as lists by column, with f to lists by column of schema; f may return None for no rows.
 
@@ -40,10 +49,14 @@ def arrow_map(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] | No
     names, types = _arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = f(batch.to_pydict())
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in zip(names, types, strict=True)], names=names)
+        try:
+            for batch in batches:
+                out = f(batch.to_pydict())
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in zip(names, types, strict=True)], names=names)
+        finally:
+            batch = out = None
+            release()
 
     return df.mapInArrow(run, schema)
 
@@ -54,8 +67,12 @@ def arrow_stream(df: DataFrame, f: Callable[[Iterator[dict[str, list]]], Iterato
     names, types = _arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in f(b.to_pydict() for b in batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in zip(names, types, strict=True)], names=names)
+        try:
+            for out in f(b.to_pydict() for b in batches):
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in zip(names, types, strict=True)], names=names)
+        finally:
+            out = None
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -126,15 +126,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size:
         ids: list[int | None] = []
         tokens: list[np.ndarray] = []
         held = 0
-        for b in batches:
-            ids += b["doc_id"]
-            tokens += [np.append(t, np.uint32(end_id)).astype("<u4") for t in encoder.encode(b["text"])]
-            held += sum(len(t) for t in tokens[-len(b["doc_id"]) :]) if b["doc_id"] else 0
-            if held >= BLOCK_TOKENS:
-                out, used = answer(ids, tokens, first)
-                yield out
-                ids, tokens, held, first = [], [], 0, first + used
-        if ids:
-            yield answer(ids, tokens, first)[0]
+        try:
+            for b in batches:
+                ids += b["doc_id"]
+                tokens += [np.append(t, np.uint32(end_id)).astype("<u4") for t in encoder.encode(b["text"])]
+                held += sum(len(t) for t in tokens[-len(b["doc_id"]) :]) if b["doc_id"] else 0
+                if held >= BLOCK_TOKENS:
+                    out, used = answer(ids, tokens, first)
+                    yield out
+                    ids, tokens, held, first = [], [], 0, first + used
+            if ids:
+                yield answer(ids, tokens, first)[0]
+        finally:
+            encoder.forget()
 
     return arrow_stream(docs.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

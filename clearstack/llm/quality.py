@@ -12,6 +12,8 @@ labelled rows; the weights (DIMENSIONS * 4 bytes) go to all tasks, and scoring i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -92,9 +94,36 @@ def logistic(v: float) -> float:
     return 1 / (1 + np.exp(-np.clip(v, -35, 35)))
 
 
-def vector(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def counted(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct features in ascending order and how often each occurs, in the least types that hold them."""
     at, count = np.unique(index, return_counts=True)
-    return np.append(at, DIMENSIONS), np.append(SCALE * count / max(1, len(index)), 1.0)
+    return at.astype(np.int32), count.astype(np.min_scalar_type(count.max(initial=0)))
+
+
+def vector(at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a text's vector isn't zero, the bias last, and its values."""
+    return np.append(at, DIMENSIONS), np.append(SCALE * count.astype(np.int64) / max(1, int(count.sum(dtype=np.int64))), 1.0)
+
+
+def learned(batches: Iterator[dict[str, list]]) -> np.ndarray:
+    """Weights from all rows (turn, doc_id, text, quality), kept as counted features, about five bytes each.
+
+    Rows are seen by turn, doc_id and quality, then by their features.
+    """
+    seen = []
+    for b in batches:
+        seen += [(t, i, q, *counted(f)) for t, i, q, f in zip(b["turn"], b["doc_id"], b["quality"], features(b["text"]), strict=True)]
+    b = None
+    seen.sort(key=itemgetter(0, 1, 2))
+    for _, alike in groupby(range(len(seen)), key=lambda k: seen[k][:3]):
+        k = list(alike)
+        if len(k) > 1:
+            seen[k[0] : k[-1] + 1] = sorted(seen[k[0] : k[-1] + 1], key=lambda r: np.append(r[3], DIMENSIONS).tobytes())
+    model = Ftrl()
+    for _ in range(EPOCHS):
+        for _, _, q, *f in seen:
+            model.learn(*vector(*f), q)
+    return model.weights(slice(None)).astype("<f4")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
@@ -110,15 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = least_hashed(rows, "pick", sample_rows, "doc_id", "quality")
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        seen = []
-        for b in batches:
-            seen += [(t, i, q, *vector(f)) for t, i, q, f in zip(b["turn"], b["doc_id"], b["quality"], features(b["text"]), strict=True)]
-        seen.sort(key=lambda r: (*r[:3], r[3].tobytes()))
-        model = Ftrl()
-        for _ in range(EPOCHS):
-            for _, _, q, at, x in seen:
-                model.learn(at, x, q)
-        yield {"weights": [model.weights(slice(None)).astype("<f4").tobytes()]}
+        yield {"weights": [learned(batches).tobytes()]}
 
     got = arrow_stream(rows.repartition(1), run, "weights binary").first()
     return np.frombuffer(got[0], "<f4") if got else np.zeros(DIMENSIONS + 1, "<f4")

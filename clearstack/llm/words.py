@@ -14,8 +14,8 @@ import numpy as np
 U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 2**64)
-#: Bytes of text that are hashed at once; a longer text is hashed alone, whole.
-CHUNK = 1 << 21
+#: Bytes of text that are hashed at once, which takes about 50 bytes each; a longer text is hashed alone, whole.
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,7 +38,7 @@ _powers = [np.empty(0, U), np.empty(0, U)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, CHUNK + (1 << 16))
+        size = max(n, 2 * CHUNK)
         for i, base in enumerate((_ODD, _INVERSE)):
             p = np.full(size, U(base), U)
             p[0] = 1
